@@ -10,7 +10,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Words and pre-tokens kept by one Python worker.
-CACHED_WORDS, CACHED_PARTS = 250_000, 350_000
+CACHED_WORDS, CACHED_PARTS = 600_000, 900_000
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Pieces of which Python's character classes and the tokenizers' agree, and which hold no special token.
 _PLAIN = re.compile(rf"(?!.*<\|)[ \n!-~{_LETTER}]*\Z", re.S)
