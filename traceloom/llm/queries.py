@@ -5,16 +5,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .flac import op3_flac_media
+from .mixing import OP2_SQL, op2_source_mixing
 from .packing import op9_best_fit_packing
+from .simhash import op1_simhash_near_dedup
 from .token_files import op10_token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_simhash_near_dedup": op1_simhash_near_dedup,
+        "op2_source_mixing": op2_source_mixing,
+        "op3_flac_media": op3_flac_media,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_token_files": op10_token_files,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_source_mixing": OP2_SQL}
