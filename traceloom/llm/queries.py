@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .flac import op3_flac_media
 from .mixing import OP2_SQL, op2_source_mixing
 from .packing import op9_best_fit_packing
+from .secrets import op8_secret_scans
 from .simhash import op1_simhash_near_dedup
 from .token_files import op10_token_files
 
@@ -17,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash_near_dedup": op1_simhash_near_dedup,
         "op2_source_mixing": op2_source_mixing,
         "op3_flac_media": op3_flac_media,
+        "op8_secret_scans": op8_secret_scans,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_token_files": op10_token_files,
     }
