@@ -5,6 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .embeddings import op6_embedding_near_dedup
 from .flac import op3_flac_media
 from .mixing import OP2_SQL, op2_source_mixing
 from .packing import op9_best_fit_packing
@@ -18,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash_near_dedup": op1_simhash_near_dedup,
         "op2_source_mixing": op2_source_mixing,
         "op3_flac_media": op3_flac_media,
+        "op6_embedding_near_dedup": op6_embedding_near_dedup,
         "op8_secret_scans": op8_secret_scans,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_token_files": op10_token_files,
