@@ -178,10 +178,14 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(kinds, x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
+def _of_kind(spans: Column, kind: int) -> Column:
+    return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long")
+
+
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract 8: spans of secrets in every document. Repeated rows and null ids are rows like others; no rows from none."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), secret_spans(F.col("text"), trained_model(spark)).alias("spans"))
-    count = [F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{name}") for k, (name, *_) in enumerate(BASE)]
+    count = [_of_kind(F.col("spans"), k).alias(f"n_{name}") for k, (name, *_) in enumerate(BASE)]
     base = F.filter("spans", lambda x: x["kind"] < len(BASE))
     return found.select("doc_id", *count, F.sha2(_listed(base).cast("binary"), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
