@@ -43,7 +43,7 @@ def small_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
-    return batch.column(batch.schema.get_field_index(name))
+    return batch.column(name)
 
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:

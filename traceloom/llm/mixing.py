@@ -2,7 +2,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, durable
+from .common import WORD, durable, new_path
 
 #: Buckets of the rank at each level of the search for a source's threshold.
 BUCKETS = 4096
@@ -53,6 +53,28 @@ def mix_sources(docs: DataFrame, most: float = 3.0, seed: str = "mix") -> DataFr
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
     rows = durable(rows.withColumn("row", F.monotonically_increasing_id()))
+    return _copies(rows, most, seed).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, most: float = 3.0, seed: str = "mix") -> DataFrame:
+    """Each row of docs as many times as mix_sources takes it, with the columns of docs; rows it does not take are left out.
+
+    The rows are numbered in a table in the shared folder, so that repeated ones are told apart.
+    """
+    spark = docs.sparkSession
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    path = new_path(spark, "mix")
+    docs.toDF(*names).withColumn("row", F.monotonically_increasing_id()).write.parquet(path)
+    own = dict(zip(docs.columns, names, strict=True))
+    kept = spark.read.parquet(path)
+    rows = kept.select(F.col(own["doc_id"]).cast("long").alias("doc_id"), F.col(own["source"]).cast("string").alias("source"), word_count(F.col(own["text"])).alias("size"), "row")
+    copies = _copies(durable(rows), most, seed).where("copies > 0 and size > 0").select("row", "copies")
+    times = kept.join(copies, "row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return times.select(*names).toDF(*docs.columns)
+
+
+def _copies(rows: DataFrame, most: float, seed: str) -> DataFrame:
+    """Adds source_size, target and copies to durable rows of row, doc_id, source, size."""
     targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), most)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     targets = targets.withColumn("sure", F.floor(ratio)).withColumn("p", ratio - F.floor(ratio)).withColumn("need", F.col("target") - F.col("sure") * F.col("source_size"))
@@ -80,7 +102,7 @@ def mix_sources(docs: DataFrame, most: float = 3.0, seed: str = "mix") -> DataFr
         open_ = chosen.where("more = 0 and size > 0 and v is not null").join(gaps, "source").where("size <= gap")
         fill = open_.groupBy("source").agg(F.max(F.struct("size", (-F.col("v")).alias("v"), "row")).alias("best")).select(F.col("best.row").alias("row"), F.lit(1).alias("filled"))
         chosen = chosen.join(fill, "row", "left").withColumn("more", F.coalesce("filled", "more")).drop("filled")
-    return chosen.select("doc_id", "size", "source_size", "target", ((F.col("sure") + F.col("more")) * F.col("size")).alias("taken"))
+    return chosen.select("row", "doc_id", "size", "source_size", "target", (F.col("sure") + F.col("more")).alias("copies"))
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -182,6 +182,14 @@ def _of_kind(spans: Column, kind: int) -> Column:
     return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long")
 
 
+def redacted_documents(docs: DataFrame) -> DataFrame:
+    """docs with the secrets in text masked, and n_chars, if docs has it, counted anew; rows and columns stay."""
+    model = trained_model(docs.sparkSession)
+    text = _let(F.struct(F.col("text").alias("t"), secret_spans(F.col("text"), model).alias("s")), lambda b: redact(b["t"], b["s"]))
+    out = docs.withColumn("text", text)
+    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract 8: spans of secrets in every document. Repeated rows and null ids are rows like others; no rows from none."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

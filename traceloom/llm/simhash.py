@@ -38,7 +38,7 @@ def fingerprint(text: str, words: int = 3) -> int:
 def _fingerprints(words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         fp = np.array([fingerprint(x, words) for x in texts(batch)], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(fp)], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "k"), pa.array(fp)], ["doc_id", "k", "fp"])
 
 
 class VantageTree:
@@ -176,22 +176,31 @@ def hamming_components(points: DataFrame, radius: int = 3) -> DataFrame:
 
 
 def simhash_groups(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
-    """doc_id, fp (signed long of the 64 bits), component_id of every row of docs.
+    """doc_id, fp (signed long of the 64 bits), component_id, k, chosen of every row of docs.
 
     Null and empty texts have fingerprint zero and link like others. Rows that share a fingerprint are one class from the
-    start. component_id is the least non-null doc_id of the class, null if it has none. Other columns are ignored; an empty
-    table gives no rows.
+    start. component_id is the least non-null doc_id of the class, null if it has none. k is a hash of the text; chosen marks
+    one document of each class: that of the least doc_id and, where rows share it or have none, the least k. Other columns
+    are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    marked = durable(rows.mapInArrow(partial(_fingerprints, words), "doc_id long, fp long"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("k"), F.col("text").alias("text"))
+    marked = durable(rows.mapInArrow(partial(_fingerprints, words), "doc_id long, k long, fp long"))
     small_batches(spark, 10_000)
     roots = durable(hamming_components(marked, radius))
-    least = marked.groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = least.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = durable(least.join(named, "root").select("fp", "component_id"))
-    return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")).alias("best")
+    least = marked.groupBy("fp").agg(best).join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = least.groupBy("root").agg(F.min("best").alias("best"))
+    classes = durable(least.select("fp", "root").join(named, "root").select("fp", F.col("best.doc_id").alias("component_id"), F.col("best.k").alias("best_k")))
+    chosen = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("k") == F.col("best_k"))
+    return marked.join(classes, "fp").select("doc_id", "fp", "component_id", "k", chosen.alias("chosen"))
+
+
+def keep_one(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
+    """The rows of docs that simhash_groups chooses, with the columns of docs; rows that repeat a doc_id and its text stay together."""
+    lost = simhash_groups(docs, words, radius).where("not chosen").select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_lost"), F.col("k").alias("_k")).distinct()
+    return docs.join(lost, (F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))) == lost["_lost"]) & (F.xxhash64(docs["text"]) == lost["_k"]), "left_anti")
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
