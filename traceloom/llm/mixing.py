@@ -7,6 +7,8 @@ from .common import WORD, durable, new_path
 #: Buckets of the rank at each level of the search for a source's threshold.
 BUCKETS = 4096
 FILLS = 3
+#: Rows of a table of sources or of picked documents up to which a join broadcasts it, at some 100 bytes a row.
+SMALL = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -33,11 +35,15 @@ def _u(seed: str) -> Column:
 
 
 def _cut(rows: DataFrame, keys: list[str], level: str) -> DataFrame:
-    """Sources' (keys, level) bucket in which the running sum of sizes first exceeds the need, and the sum before it."""
-    sums = rows.groupBy(*keys, level).agg(F.sum("size").alias("s"), F.first("need").alias("need"))
-    order = Window.partitionBy(*keys).orderBy(level)
-    run = sums.withColumn("after", F.sum("s").over(order)).where("after > need")
-    return run.groupBy(*keys).agg(F.min(F.struct(level, (F.col("after") - F.col("s")).alias("before"), "need")).alias("c")).select(*keys, f"c.{level}", "c.before", F.col("c.need").alias("need"))
+    """(keys, level, before): the bucket in which each source's running sum of sizes first exceeds its need, and the sum before it."""
+    sums = rows.groupBy(*keys, level).agg(F.sum("size").alias("s"), F.max("need").alias("need"))
+    run = sums.withColumn("after", F.sum("s").over(Window.partitionBy(*keys).orderBy(level))).where("after > need")
+    return run.groupBy(*keys).agg(F.min(level).alias(level), F.min(F.col("after") - F.col("s")).alias("before"))
+
+
+def _small(table: DataFrame, most: int = SMALL) -> DataFrame:
+    """table, broadcast if it has few rows; the join decides otherwise. Its rows are a few numbers each."""
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
 
 
 def mix_sources(docs: DataFrame, most: float = 3.0, seed: str = "mix") -> DataFrame:
@@ -75,34 +81,43 @@ def mixed_documents(docs: DataFrame, most: float = 3.0, seed: str = "mix") -> Da
 
 def _copies(rows: DataFrame, most: float, seed: str) -> DataFrame:
     """Adds source_size, target and copies to durable rows of row, doc_id, source, size."""
+    named = F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"))
     targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), most)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     targets = targets.withColumn("sure", F.floor(ratio)).withColumn("p", ratio - F.floor(ratio)).withColumn("need", F.col("target") - F.col("sure") * F.col("source_size"))
-    targets = durable(targets.withColumnRenamed("source", "of"))
-    rows = rows.join(targets, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    targets = durable(targets.select(F.xxhash64(named).alias("src"), named.alias("name"), *targets.columns[1:]))
+    rows = rows.select("row", "doc_id", "size", F.xxhash64(named).alias("src"), named.alias("name")).join(_small(targets), ["src", "name"]).drop("name")
     odds = _u(seed) / (1 - _u(seed)) * (1 - F.col("p")) / F.col("p")
     rows = rows.withColumn("v", F.when((F.col("p") > 0) & (F.col("size") > 0), odds / (1 + odds)))
     rows = rows.withColumn("b1", F.floor(F.col("v") * BUCKETS)).withColumn("b2", F.floor((F.col("v") * BUCKETS - F.floor(F.col("v") * BUCKETS)) * BUCKETS))
-    rows = durable(rows.withColumn("source", F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"))))
+    rows = durable(rows)
     live = rows.where("v is not null")
-    first = _cut(live, ["source"], "b1")
-    inside = live.drop("need").join(first, ["source", "b1"]).withColumn("need", F.col("need") - F.col("before")).drop("before")
-    second = _cut(inside, ["source", "b1"], "b2")
-    last = inside.drop("need").join(second, ["source", "b1", "b2"])
-    order = Window.partitionBy("source").orderBy("v", "doc_id", "row").rowsBetween(Window.unboundedPreceding, -1)
+    first = durable(_cut(live, ["src"], "b1"))
+    inside = live.join(_small(first), ["src", "b1"]).withColumn("need", F.col("need") - F.col("before")).drop("before")
+    second = durable(_cut(inside, ["src", "b1"], "b2"))
+    last = inside.join(_small(second), ["src", "b1", "b2"])
+    order = Window.partitionBy("src").orderBy("v", "doc_id", "row").rowsBetween(Window.unboundedPreceding, -1)
     last = last.withColumn("run", F.coalesce(F.sum("size").over(order), F.lit(0))).where(F.col("before") + F.col("run") + F.col("size") <= F.col("need"))
-    picked = last.select("row", F.lit(1).alias("in_last"))
-    bounds = first.select("source", F.col("b1").alias("c1")).join(second.select("source", F.col("b2").alias("c2")), "source")
-    chosen = rows.join(bounds, "source", "left").join(picked, "row", "left")
-    below = F.col("v").isNotNull() & (F.col("c1").isNull() | (F.col("b1") < F.col("c1")) | ((F.col("b1") == F.col("c1")) & (F.col("b2") < F.col("c2"))) | F.col("in_last").isNotNull())
-    chosen = chosen.withColumn("more", F.when(below, 1).otherwise(0)).drop("c1", "c2", "in_last", "b1", "b2")
+    extra = durable(last.select("row", "src", "size"))
+    bounds = durable(first.select("src", F.col("b1").alias("c1")).join(second.select("src", F.col("b2").alias("c2")), "src"))
+    below = F.col("v").isNotNull() & (F.col("c1").isNull() | (F.col("b1") < F.col("c1")) | ((F.col("b1") == F.col("c1")) & (F.col("b2") < F.col("c2"))))
+    marked = rows.join(_small(bounds), "src", "left").withColumn("below", below)
+    # what the first pick leaves open in each source; the largest documents that fit fill it
+    gaps = durable(live.groupBy("src").agg(F.max("need").alias("need")).join(marked.where("below").groupBy("src").agg(F.sum("size").alias("got")), "src", "left").select("src", (F.col("need") - F.coalesce("got", F.lit(0))).alias("gap")))
+    spent = extra.groupBy("src").agg(F.sum("size").alias("spent"))
+    gaps = gaps.join(spent, "src", "left").select("src", (F.col("gap") - F.coalesce("spent", F.lit(0))).alias("gap"))
     for _ in range(FILLS):
-        chosen = durable(chosen)
-        gaps = chosen.groupBy("source").agg((F.first("need") - F.sum(F.when(F.col("more") == 1, F.col("size")).otherwise(0))).alias("gap"))
-        open_ = chosen.where("more = 0 and size > 0 and v is not null").join(gaps, "source").where("size <= gap")
-        fill = open_.groupBy("source").agg(F.max(F.struct("size", (-F.col("v")).alias("v"), "row")).alias("best")).select(F.col("best.row").alias("row"), F.lit(1).alias("filled"))
-        chosen = chosen.join(fill, "row", "left").withColumn("more", F.coalesce("filled", "more")).drop("filled")
-    return chosen.select("row", "doc_id", "size", "source_size", "target", (F.col("sure") + F.col("more")).alias("copies"))
+        gaps = durable(gaps)
+        fits = marked.where("v is not null and not below").join(_small(gaps), "src").where("size <= gap").join(_small(extra.select("row")), "row", "left_anti")
+        rank = F.col("size").cast("decimal(38,0)") * F.lit(10**18).cast("decimal(19,0)") - F.floor(F.col("v") * F.lit(1e17)).cast("decimal(18,0)")
+        ranked = fits.select("src", "row", "size", rank.cast("decimal(38,0)").alias("rank"))
+        best = ranked.groupBy("src").agg(F.max("rank").alias("rank"))
+        fill = ranked.join(_small(durable(best)), ["src", "rank"]).groupBy("src").agg(F.max("row").alias("row"), F.max("size").alias("size"))
+        fill = durable(fill.select("row", "src", "size"))
+        extra = durable(extra.unionByName(fill))
+        gaps = gaps.join(fill.select("src", F.col("size").alias("filled")), "src", "left").select("src", (F.col("gap") - F.coalesce("filled", F.lit(0))).alias("gap"))
+    chosen = marked.join(_small(extra.select("row", F.lit(True).alias("extra"))), "row", "left")
+    return chosen.select("row", "doc_id", "size", "source_size", "target", (F.col("sure") + F.when(F.col("below") | F.col("extra").isNotNull(), 1).otherwise(0)).alias("copies"))
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
