@@ -14,6 +14,8 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Fingerprints at home in one shard, about; sampled fingerprints that decide the tree, for each shard and at most.
 SHARD, LEAST_SHARDS, SAMPLED, MOST_SAMPLED = 8192, 16, 32, 1 << 17
 BLOCK = 32
+#: Words of a segment, at least and at most; its start is one of SPREAD pairs of words; segments kept of a text.
+SHORTEST, LONGEST, SPREAD, KEPT = 6, 40, 8, 8
 
 
 def fingerprint(text: str, words: int = 3) -> int:
@@ -197,10 +199,108 @@ def simhash_groups(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFram
     return marked.join(classes, "fp").select("doc_id", "fp", "component_id", "k", chosen.alias("chosen"))
 
 
-def keep_one(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
-    """The rows of docs that simhash_groups chooses, with the columns of docs; rows that repeat a doc_id and its text stay together."""
-    lost = simhash_groups(docs, words, radius).where("not chosen").select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_lost"), F.col("k").alias("_k")).distinct()
-    return docs.join(lost, (F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))) == lost["_lost"]) & (F.xxhash64(docs["text"]) == lost["_k"]), "left_anti")
+def segments(text: str, words: int = 3) -> list[int]:
+    """Fingerprints of at most KEPT segments of a text, those of least value after mixing.
+
+    A segment begins at two words whose hash says so, or where none did for LONGEST words, and has SHORTEST words or more; so
+    texts that differ in a few words have most segments in common. A text without any is one segment.
+    """
+    parts = text.encode().translate(_LOWER).split()
+    if len(parts) < 2 * SHORTEST:
+        return [fingerprint(text, words)]
+    out, begin = set(), 0
+    for i in range(1, len(parts) + 1):
+        size = i - begin
+        if i == len(parts) or size >= LONGEST or (size >= SHORTEST and i + 1 < len(parts) and not xxh64_intdigest(parts[i] + b" " + parts[i + 1], 9) % SPREAD):
+            if size >= SHORTEST:
+                out.add(fingerprint(b" ".join(parts[begin:i]).decode(errors="surrogateescape"), words))
+            begin = i
+    return sorted(out, key=lambda f: xxh64_intdigest(f.to_bytes(8, "little"), 5))[:KEPT]
+
+
+def _marked(words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        own = texts(batch)
+        fp = np.array([fingerprint(x, words) for x in own], np.uint64).view(np.int64)
+        parts = [np.array(segments(x, words), np.uint64).view(np.int64) for x in own]
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
+        yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "k"), pa.array(fp), lists], ["doc_id", "k", "fp", "segs"])
+
+
+def jaccard(a: str, b: str, words: int = 5) -> float:
+    """Share of common shingles of two texts, ASCII capitals lowered; a text of fewer words is one shingle."""
+    sets = []
+    for text in (a, b):
+        parts = text.encode().translate(_LOWER).split()
+        sets.append({b" ".join(parts[i : i + words]) for i in range(max(1, len(parts) - words + 1))})
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def _verified(least: float, words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keep = np.array([jaccard(x, y, words) >= least for x, y in zip(texts(batch, "text_a"), texts(batch, "text_b"), strict=True)], bool)
+        yield pa.RecordBatch.from_arrays([column(batch, c).filter(pa.array(keep)) for c in ("a", "b")], ["a", "b"])
+
+
+def _candidates(marked: DataFrame, radius: int) -> DataFrame:
+    """(a, b): text hashes that share segments within `radius` bits, a quarter of them or more.
+
+    Segments meet in classes of a vantage-point tree over their fingerprints. A text is paired with two texts of each class:
+    the one whose segments most other texts have, as an original has among its edited copies, and the one of least hash.
+    """
+    rows = durable(marked.groupBy("k").agg(F.first("segs").alias("segs")).select("k", F.size("segs").alias("own"), F.explode("segs").alias("seg")))
+    roots = durable(hamming_components(rows.select(F.col("seg").alias("fp")), radius))
+    placed = rows.join(roots.select(F.col("fp").alias("seg"), "root"), "seg", "left").select("k", "own", F.coalesce("root", "seg").alias("root")).distinct()
+    placed = durable(placed)
+    sizes = placed.groupBy("root").agg(F.count("*").alias("n"))
+    shared = durable(placed.join(sizes.where("n > 1"), "root"))
+    support = shared.groupBy("k").agg(F.sum(F.log2("n")).alias("support"))
+    backed = shared.join(support, "k")
+    chosen = backed.groupBy("root").agg(F.max_by("k", F.col("support")).alias("top"), F.min("k").alias("low"))
+    pairs = shared.join(chosen, "root").select("k", "own", F.explode(F.array_distinct(F.array("top", "low"))).alias("b")).where("k <> b")
+    common = pairs.groupBy(F.col("k").alias("a"), "b").agg(F.count("*").alias("common"), F.max("own").alias("own"))
+    return common.where("common * 4 >= own").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def near_groups(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int = 3) -> DataFrame:
+    """doc_id, k, chosen of every row of docs: k is a hash of the text, chosen marks one document of each near-duplicate class.
+
+    Two texts link if their fingerprints differ in `radius` bits or fewer, as in simhash_groups, or if the shingles of `words`
+    words that they share are `least` of all they have or more. Whole fingerprints miss most pairs of the second kind, so
+    fingerprints of segments find candidates; each is decided on the whole texts. Equal texts are one node throughout.
+    Chosen is the document of the least doc_id, or of the least k where rows share it or have none; null and empty texts are
+    alike and link; an empty table gives no rows; other columns are ignored.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("k"), F.col("text").alias("text"))
+    marked = durable(rows.mapInArrow(partial(_marked, 3), "doc_id long, k long, fp long, segs array<long>"))
+    small_batches(spark, 10_000)
+    whole = hamming_components(marked, radius)
+    nodes = durable(marked.groupBy("k").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")).alias("best"), F.first("fp").alias("fp")))
+    in_class = nodes.select("k", "fp").join(whole, "fp", "left").select("k", F.coalesce("root", "fp").alias("root"))
+    near = in_class.join(in_class.groupBy("root").agg(F.min("k").alias("m")), "root").select(F.col("k").alias("a"), F.col("m").alias("b")).where("a <> b")
+    pairs = durable(_candidates(marked, radius))
+    wanted = pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).distinct()
+    named = nodes.join(wanted, "k", "left_semi").select("k", F.coalesce("best.doc_id", F.lit(-(1 << 63))).alias("d"))
+    few = rows.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), "k", "text").join(named, ["d", "k"], "left_semi").select("k", "text").dropDuplicates(["k"])
+    few = durable(few)
+    both = pairs.join(few.select(F.col("k").alias("a"), F.col("text").alias("text_a")), "a").join(few.select(F.col("k").alias("b"), F.col("text").alias("text_b")), "b")
+    small_batches(spark)
+    links = durable(both.mapInArrow(partial(_verified, least, words), "a long, b long"))
+    small_batches(spark, 10_000)
+    roots = connected(near.unionByName(links)).select(F.col("node").alias("k"), "root")
+    classed = durable(nodes.select("k", "best").join(roots, "k", "left").select("k", "best", F.coalesce("root", "k").alias("root")))
+    winners = classed.join(classed.groupBy("root").agg(F.min("best").alias("winner")), "root").select("k", "winner")
+    chosen = F.col("doc_id").eqNullSafe(F.col("winner.doc_id")) & (F.col("k") == F.col("winner.k"))
+    return marked.select("doc_id", "k").join(winners, "k").select("doc_id", "k", chosen.alias("chosen"))
+
+
+def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int = 3) -> DataFrame:
+    """The rows of docs that near_groups chooses, with the columns of docs; rows that repeat a doc_id and its text stay together."""
+    lost = near_groups(docs, words, least, radius).where("not chosen").select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_lost"), F.col("k").alias("_k")).distinct()
+    small_batches(docs.sparkSession)
+    return docs.join(lost, (F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))) == lost["_lost"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == lost["_k"]), "left_anti")
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
