@@ -25,6 +25,8 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _DIGITS = re.compile(r"\d+")
 
 _INSIDE = frozenset("script style textarea title xmp iframe noembed noframes".split())
+#: Elements that stand inside a line without parting it.
+_UNSEEN = frozenset("script style iframe noembed noframes".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -127,7 +129,8 @@ def parse(html: str) -> tuple[dict[str, int], list[Block], list[str]]:
             else:
                 flush()
             continue
-        flush()
+        if tag not in _UNSEEN:
+            flush()
         if tag in _IMPLIED:
             ends, stop = _IMPLIED[tag]
             for i in range(len(stack) - 1, 0, -1):
@@ -136,7 +139,7 @@ def parse(html: str) -> tuple[dict[str, int], list[Block], list[str]]:
                 if stack[i].tag in ends.split():
                     close(i)
                     break
-        if stack[-1].tag == "p":
+        if stack[-1].tag == "p" and tag not in _UNSEEN:
             close(len(stack) - 1)
         if tag in ("article", "main", "body"):
             # a menu, a page header or the head that was never closed ends here

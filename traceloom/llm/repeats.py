@@ -292,7 +292,8 @@ def _contexts(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFr
     keyed = _keyed(docs)
     small_batches(spark, 512)
     found = keyed.select("d", "k", "text").mapInArrow(partial(_scanned, least), "h long, ctx long, d long, k long, first long, span int")
-    again = found.select("h").groupBy("h").count().where("count > 1").select("h")
+    # kept, so that the join below deals both sides by exchanges that skewed anchors can split
+    again = durable(found.select("h").groupBy("h").count().where("count > 1").select("h"))
     some = durable(found.join(again, "h", "left_semi"))
     spot = F.struct("d", "k", "first", "span")
     kinds = durable(some.groupBy("h", "ctx").agg(F.count("*").alias("n"), F.min(spot).alias("spot")))

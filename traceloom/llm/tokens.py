@@ -66,7 +66,7 @@ class Encoder:
             self.kind = "byte"
         elif split.get("behavior") == "Removed" and split.get("pattern", {}).get("Regex", "").startswith("'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|") and "Lowercase" in norm and "NFC" in norm:
             self.kind = "word"
-        self.letters = _byte_letters()
+        self.letters = dict(enumerate(_byte_letters()))
 
     def ids(self, text: str) -> np.ndarray:
         return np.frombuffer(self.raw(text), "<u4")
@@ -75,11 +75,13 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _part(self, part: str) -> bytes:
-        letters = self.letters
-        return array("I", [t.id for t in self.model.tokenize("".join([letters[b] for b in part.encode()]))]).tobytes()
+        # the bytes as characters of the same numbers, then as the vocabulary writes them
+        return array("I", [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))]).tobytes()
 
     def _word(self, word: str) -> bytes:
         """word has no space; in byte-level kinds a space went before it, unless it starts with a line feed."""
+        if word.isascii() and word.isalpha():  # one part
+            return self._part(word.lower() if self.kind == "word" else " " + word)
         if self.kind == "word":
             return b"".join(map(self.parts.__getitem__, _WORD_PARTS.findall(word.lower()))) if _PLAIN.match(word) else self._library(word)
         bare = word[1:] if word[:1] == "\n" else word
