@@ -1,6 +1,8 @@
 """SimHash near-duplicates: fingerprints sharded by a vantage-point tree over Hamming distance, linked within a few bits."""
+import heapq
 from collections.abc import Iterator
 from functools import partial
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +16,7 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Fingerprints at home in one shard, about; sampled fingerprints that decide the tree, for each shard and at most.
 SHARD, LEAST_SHARDS, SAMPLED, MOST_SAMPLED = 8192, 16, 32, 1 << 17
 BLOCK = 32
-#: Words of a segment, at least and at most; its start is one of SPREAD pairs of words; segments kept of a text.
+#: Words of a segment, at least and at most; one in SPREAD words starts one; segments kept of a text.
 SHORTEST, LONGEST, SPREAD, KEPT = 6, 40, 8, 8
 
 
@@ -199,30 +201,27 @@ def simhash_groups(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFram
     return marked.join(classes, "fp").select("doc_id", "fp", "component_id", "k", chosen.alias("chosen"))
 
 
-def segments(text: str, words: int = 3) -> list[int]:
-    """Fingerprints of at most KEPT segments of a text, those of least value after mixing.
+def segments(text: str) -> list[int]:
+    """Hashes of at most KEPT segments of a text, the least ones.
 
-    A segment begins at two words whose hash says so, or where none did for LONGEST words, and has SHORTEST words or more; so
-    texts that differ in a few words have most segments in common. A text without any is one segment.
+    A segment begins at a word that one in SPREAD is like, or where none did for LONGEST words, and has SHORTEST words or more;
+    so texts that differ in a few words have most segments in common. A text without any is one segment.
     """
     parts = text.encode().translate(_LOWER).split()
-    if len(parts) < 2 * SHORTEST:
-        return [fingerprint(text, words)]
     out, begin = set(), 0
-    for i in range(1, len(parts) + 1):
+    for i, mark in enumerate([*map(crc32, parts), 0]):
         size = i - begin
-        if i == len(parts) or size >= LONGEST or (size >= SHORTEST and i + 1 < len(parts) and not xxh64_intdigest(parts[i] + b" " + parts[i + 1], 9) % SPREAD):
-            if size >= SHORTEST:
-                out.add(fingerprint(b" ".join(parts[begin:i]).decode(errors="surrogateescape"), words))
+        if size >= SHORTEST and (mark % SPREAD == 0 or size >= LONGEST or i == len(parts)):
+            out.add(xxh64_intdigest(b" ".join(parts[begin:i]), 9))
             begin = i
-    return sorted(out, key=lambda f: xxh64_intdigest(f.to_bytes(8, "little"), 5))[:KEPT]
+    return heapq.nsmallest(KEPT, out) or [xxh64_intdigest(b" ".join(parts), 9)]
 
 
 def _marked(words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         own = texts(batch)
         fp = np.array([fingerprint(x, words) for x in own], np.uint64).view(np.int64)
-        parts = [np.array(segments(x, words), np.uint64).view(np.int64) for x in own]
+        parts = [np.array(segments(x), np.uint64).view(np.int64) for x in own]
         lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
         yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "k"), pa.array(fp), lists], ["doc_id", "k", "fp", "segs"])
 
@@ -242,22 +241,20 @@ def _verified(least: float, words: int, batches: Iterator[pa.RecordBatch]) -> It
         yield pa.RecordBatch.from_arrays([column(batch, c).filter(pa.array(keep)) for c in ("a", "b")], ["a", "b"])
 
 
-def _candidates(marked: DataFrame, radius: int) -> DataFrame:
-    """(a, b): text hashes that share segments within `radius` bits, a quarter of them or more.
+def _candidates(marked: DataFrame) -> DataFrame:
+    """(a, b): text hashes that have equal segments, a quarter of their own or more.
 
-    Segments meet in classes of a vantage-point tree over their fingerprints. A text is paired with two texts of each class:
-    the one whose segments most other texts have, as an original has among its edited copies, and the one of least hash.
+    A text is paired with four texts of each such class: the one whose segments most other texts have, as an original has
+    among its edited copies, and three by hashes, so that small classes meet whole; a class gives four times its size in pairs
+    at most. A tree over
+    fingerprints of segments would send each to ever more shards as it grows, and nearly equal texts have equal segments.
     """
-    rows = durable(marked.groupBy("k").agg(F.first("segs").alias("segs")).select("k", F.size("segs").alias("own"), F.explode("segs").alias("seg")))
-    roots = durable(hamming_components(rows.select(F.col("seg").alias("fp")), radius))
-    placed = rows.join(roots.select(F.col("fp").alias("seg"), "root"), "seg", "left").select("k", "own", F.coalesce("root", "seg").alias("root")).distinct()
-    placed = durable(placed)
-    sizes = placed.groupBy("root").agg(F.count("*").alias("n"))
-    shared = durable(placed.join(sizes.where("n > 1"), "root"))
-    support = shared.groupBy("k").agg(F.sum(F.log2("n")).alias("support"))
-    backed = shared.join(support, "k")
-    chosen = backed.groupBy("root").agg(F.max_by("k", F.col("support")).alias("top"), F.min("k").alias("low"))
-    pairs = shared.join(chosen, "root").select("k", "own", F.explode(F.array_distinct(F.array("top", "low"))).alias("b")).where("k <> b")
+    placed = durable(marked.groupBy("k").agg(F.first("segs").alias("segs")).select("k", F.size("segs").alias("own"), F.explode("segs").alias("seg")))
+    sizes = placed.groupBy("seg").agg(F.count("*").alias("n")).where("n > 1")
+    shared = durable(placed.join(durable(sizes), "seg"))
+    support = durable(shared.groupBy("k").agg(F.sum(F.log2("n")).alias("support")))
+    chosen = shared.join(support, "k").groupBy("seg").agg(F.max_by("k", F.col("support")).alias("top"), F.min("k").alias("low"), F.max("k").alias("high"), F.max_by("k", F.xxhash64("k")).alias("any"))
+    pairs = shared.join(durable(chosen), "seg").select("k", "own", F.explode(F.array_distinct(F.array("top", "low", "high", "any"))).alias("b")).where("k <> b")
     common = pairs.groupBy(F.col("k").alias("a"), "b").agg(F.count("*").alias("common"), F.max("own").alias("own"))
     return common.where("common * 4 >= own").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -267,7 +264,7 @@ def near_groups(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int
 
     Two texts link if their fingerprints differ in `radius` bits or fewer, as in simhash_groups, or if the shingles of `words`
     words that they share are `least` of all they have or more. Whole fingerprints miss most pairs of the second kind, so
-    fingerprints of segments find candidates; each is decided on the whole texts. Equal texts are one node throughout.
+    equal segments find candidates; each is decided on the whole texts. Equal texts are one node throughout.
     Chosen is the document of the least doc_id, or of the least k where rows share it or have none; null and empty texts are
     alike and link; an empty table gives no rows; other columns are ignored.
     """
@@ -280,7 +277,7 @@ def near_groups(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int
     nodes = durable(marked.groupBy("k").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")).alias("best"), F.first("fp").alias("fp")))
     in_class = nodes.select("k", "fp").join(whole, "fp", "left").select("k", F.coalesce("root", "fp").alias("root"))
     near = in_class.join(in_class.groupBy("root").agg(F.min("k").alias("m")), "root").select(F.col("k").alias("a"), F.col("m").alias("b")).where("a <> b")
-    pairs = durable(_candidates(marked, radius))
+    pairs = durable(_candidates(marked))
     wanted = pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).distinct()
     named = nodes.join(wanted, "k", "left_semi").select("k", F.coalesce("best.doc_id", F.lit(-(1 << 63))).alias("d"))
     few = rows.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), "k", "text").join(named, ["d", "k"], "left_semi").select("k", "text").dropDuplicates(["k"])
