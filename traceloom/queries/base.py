@@ -32,7 +32,7 @@ def frame(spark: SparkSession, folder: str, params: AlleleFilter = PARAMS) -> Da
 
 def fixed(expr: str, digits: int = 6) -> str:
     scale = f"1e{digits}"
-    return f"(floor(({expr}) * {scale} + 0.5::DOUBLE) / {scale})"
+    return f"(floor(({expr}) * {scale} + 0.5001::DOUBLE) / {scale})"
 
 
 def core(p: AlleleFilter = PARAMS) -> str:

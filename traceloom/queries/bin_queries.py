@@ -55,12 +55,12 @@ def bin_peaks_in_range(spark, d):
 
 
 @query(f"""WITH {catalog.SQL}, {_BINS}, u AS (SELECT marker_id, value AS bin, avg(size) AS mean, quantile_cont(size, 0.25) AS p25, quantile_cont(size, 0.75) AS p75 FROM alleles WHERE value % 2 = 0 GROUP BY ALL)
-SELECT b.marker_id, b.bin, {fixed('coalesce(u.mean, b.mean)', 9)} AS mean, {fixed('coalesce(u.p25, b.p25)', 4)} AS p25, {fixed('coalesce(u.p75, b.p75)', 4)} AS p75 FROM b LEFT JOIN u USING (marker_id, bin)""")
+SELECT b.marker_id, b.bin, {fixed('coalesce(u.mean, b.mean)')} AS mean, {fixed('coalesce(u.p25, b.p25)', 4)} AS p25, {fixed('coalesce(u.p75, b.p75)', 4)} AS p75 FROM b LEFT JOIN u USING (marker_id, bin)""")
 def bin_adjust(spark, d):
     from ..operators.statistics import bin_summary
 
     news = bin_summary(catalog.alleles(spark, d).where("value % 2 = 0"))
-    return ops.adjust_bins(_bins(spark), news).select("marker_id", "bin", *(stable(F.col(c), 9 if c == "mean" else 4).alias(c) for c in ("mean", "p25", "p75")))
+    return ops.adjust_bins(_bins(spark), news).select("marker_id", "bin", *(stable(F.col(c), 6 if c == "mean" else 4).alias(c) for c in ("mean", "p25", "p75")))
 
 
 _STATS = "quantile_cont(size, {q})"

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from .. import catalog
 from ..catalog import MARKERS, catalog as tables
 from ..operators import quality, sets
+from ..operators.core import AlleleFilter
 from ..plans.query import Query
 from .base import WIDE, core, frame, query
 
@@ -68,21 +69,25 @@ def sample_quality(spark, d):
     return quality.sample_quality(frame(spark, d), len(MARKERS), 0.8)
 
 
-def _good(also: str) -> str:
-    return core(WIDE) + f", {_GENOTYPED} SELECT label, sample_id FROM q WHERE genotyped >= 7 * 0.5 AND (label, sample_id) IN ({also})"
+#: Few alleles a cell, so that samples of one allele everywhere exist.
+_LEAN = AlleleFilter(abs_threshold=30000.0, rel_threshold=0.9, peak_types=("bin", "called"))
+
+
+def _good(also: str, params: AlleleFilter = _LEAN) -> str:
+    return core(params) + f", {_GENOTYPED} SELECT label, sample_id FROM q WHERE genotyped >= 7 * 0.5 AND (label, sample_id) IN ({also})"
 
 
 @query(_good("SELECT (label, sample_id) FROM moi WHERE moi = 1"))
 def monoclonal_samples(spark, d):
-    return quality.filtered_samples(frame(spark, d, WIDE), MARKERS, 0.5, "M")
+    return quality.filtered_samples(frame(spark, d, _LEAN), MARKERS, 0.5, "M")
 
 
 @query(_good("SELECT (label, sample_id) FROM moi WHERE mloci <= 1"))
 def low_complexity_samples(spark, d):
-    return quality.filtered_samples(frame(spark, d, WIDE), MARKERS, 0.5, "S")
+    return quality.filtered_samples(frame(spark, d, _LEAN), MARKERS, 0.5, "S")
 
 
-@query(_good("SELECT (label, min(sample_id)) FROM g GROUP BY label, genotype"))
+@query(_good("SELECT (label, min(sample_id)) FROM g GROUP BY label, genotype", WIDE))
 def unique_haplotype_samples(spark, d):
     return quality.filtered_samples(frame(spark, d, WIDE), MARKERS, 0.5, "U")
 

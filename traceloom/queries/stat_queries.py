@@ -12,11 +12,11 @@ from .base import WIDE, core, fixed, frame, query
 _SUMMARY = """s AS (SELECT label, marker_id, value, count(*)::BIGINT AS n, avg(height) AS mh, avg(size) AS ms, min(size) AS min_size, max(size) AS max_size FROM f GROUP BY ALL)"""
 
 
-@query(core() + f""", {_SUMMARY} SELECT label, marker_id, value, n, min_size, max_size, max_size - min_size AS delta, {fixed('mh', 9)} AS mean_height, {fixed('ms', 9)} AS mean_size,
+@query(core() + f""", {_SUMMARY} SELECT label, marker_id, value, n, min_size, max_size, max_size - min_size AS delta, {fixed('mh')} AS mean_height, {fixed('ms')} AS mean_size,
 count(*) OVER w::BIGINT AS unique_alleles, (sum(n) OVER w)::BIGINT AS total_alleles, n / (sum(n) OVER w)::DOUBLE AS freq FROM s WINDOW w AS (PARTITION BY label, marker_id)""")
 def allele_summary(spark, d):
     own = statistics.allele_summary(frame(spark, d))
-    return own.withColumn("mean_height", stable(F.col("mean_height"), 9)).withColumn("mean_size", stable(F.col("mean_size"), 9))
+    return own.withColumn("mean_height", stable(F.col("mean_height"))).withColumn("mean_size", stable(F.col("mean_size")))
 
 
 @query(core() + """, s AS (SELECT DISTINCT label, marker_id, value FROM f), p AS (SELECT *, value - lag(value) OVER w AS b, lead(value) OVER w - value AS a FROM s WINDOW w AS (PARTITION BY label, marker_id ORDER BY value))
@@ -25,10 +25,10 @@ def check_delta(spark, d):
     return statistics.adjacency(frame(spark, d).select("label", "marker_id", "value").distinct())
 
 
-@query(core() + f"SELECT marker_id, value AS bin, {fixed('avg(size)', 9)} AS mean, {fixed('quantile_cont(size, 0.25)', 4)} AS p25, {fixed('quantile_cont(size, 0.75)', 4)} AS p75 FROM f GROUP BY ALL")
+@query(core() + f"SELECT marker_id, value AS bin, {fixed('avg(size)')} AS mean, {fixed('quantile_cont(size, 0.25)', 4)} AS p25, {fixed('quantile_cont(size, 0.75)', 4)} AS p75 FROM f GROUP BY ALL")
 def bin_summary(spark, d):
     own = statistics.bin_summary(frame(spark, d))
-    return own.select("marker_id", "bin", *(stable(F.col(c), 9 if c == "mean" else 4).alias(c) for c in ("mean", "p25", "p75")))
+    return own.select("marker_id", "bin", *(stable(F.col(c), 6 if c == "mean" else 4).alias(c) for c in ("mean", "p25", "p75")))
 
 
 _HE = """h AS (SELECT label, marker_id, sum(n)::BIGINT AS n, CASE WHEN sum(n) > 1 THEN (1 - sum(n * n)::DOUBLE / (sum(n)::DOUBLE * sum(n)::DOUBLE)) * sum(n)::DOUBLE / (sum(n)::DOUBLE - 1) ELSE 1 - sum(n * n)::DOUBLE / (sum(n)::DOUBLE * sum(n)::DOUBLE) END AS he
