@@ -50,6 +50,19 @@ def signed_rank(pairs: DataFrame, left: str, right: str) -> DataFrame:
     return sums.withColumn("t", F.least("w_plus", "w_minus"))
 
 
+def signed_rank_p(t: float, n: int) -> float:
+    """Two-sided probability of a smaller sum of signed ranks of n differences: counted exactly up to 25, normal beyond."""
+    if n == 0:
+        return 1.0
+    if n > 25:
+        return normal_tail((t - n * (n + 1) / 4) / math.sqrt(n * (n + 1) * (2 * n + 1) / 24))
+    ways = [1] + [0] * (n * (n + 1) // 2)
+    for r in range(1, n + 1):
+        for s in range(len(ways) - 1, r - 1, -1):
+            ways[s] += ways[s - r]
+    return min(1.0, 2 * sum(ways[: int(t) + 1]) / 2**n)
+
+
 def normal_tail(z: float) -> float:
     """Two-sided probability of a deviate as large as z."""
     return math.erfc(abs(z) / math.sqrt(2))

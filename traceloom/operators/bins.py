@@ -85,6 +85,31 @@ def assign_bins(peaks: DataFrame, bins: DataFrame, markers: DataFrame | None = N
     return out.drop("min_size", "max_size") if markers is not None else out
 
 
+def bin_channels(peaks: DataFrame, channel_markers: DataFrame, bins: DataFrame, markers: DataFrame) -> DataFrame:
+    """Binned peaks, one revision for each marker of a channel (channel_id, marker_id).
+
+    A channel of combined markers has several, and each gets its own copy of the peaks; those outside the marker's sizes become
+    unassigned there.
+    """
+    own = peaks.drop("marker_id").join(channel_markers.select("channel_id", "marker_id"), "channel_id")
+    return assign_bins(own, bins, markers)
+
+
+def fixed_bins(bins: DataFrame) -> DataFrame:
+    """bins as a table of its own, without the plan that led to it; some hundreds of rows a marker at most."""
+    return bins.sparkSession.createDataFrame(bins.collect(), bins.schema)
+
+
+def refine_bins(sized: DataFrame, bins: DataFrame, rounds: int = 3) -> DataFrame:
+    """bins after rounds of assigning sizes and taking mean and quartiles of what each bin got; bins that got nothing stay."""
+    for _ in range(rounds):
+        own = assign_bins(sized.select("marker_id", "size"), bins).where("bin >= 0")
+        q = F.percentile("size", F.array(F.lit(0.25), F.lit(0.75)))
+        news = own.groupBy("marker_id", "bin").agg(F.bround(F.avg("size"), 3).alias("mean"), q.alias("q")).select("marker_id", "bin", "mean", F.bround(F.get("q", F.lit(0)), 3).alias("p25"), F.bround(F.get("q", F.lit(1)), 3).alias("p75"))
+        bins = fixed_bins(adjust_bins(bins, news))
+    return bins
+
+
 def bin_round(sized: DataFrame, bins: DataFrame) -> DataFrame:
     """(marker_id, bin, n, median, p10, p25, p75, p90) of sizes after one assignment."""
     q = F.percentile("size", F.array(*map(F.lit, (0.5, 0.1, 0.25, 0.75, 0.9))))

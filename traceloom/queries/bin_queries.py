@@ -78,6 +78,20 @@ def bin_optimise(spark, d):
     return ops.optimise_bins(catalog.alleles(spark, d), _bins(spark), repeats)
 
 
+@query()
+def bin_refine_rounds(spark, d):
+    return ops.refine_bins(catalog.alleles(spark, d), _bins(spark), 3)
+
+
+@query(_ASSIGN.replace("FROM alleles a ASOF", "FROM (SELECT a.* REPLACE (c.marker_id AS marker_id), a.marker_id AS channel_id FROM alleles a JOIN (SELECT 1 AS channel_id, 1 AS marker_id UNION ALL SELECT 1, 2 UNION ALL SELECT 3, 3) c ON c.channel_id = a.marker_id) a ASOF").replace("a.allele_id, a.size", "a.channel_id, a.allele_id, a.size")
++ " SELECT channel_id, marker_id, sample_id, allele_id, CASE WHEN size > 5 AND size < 45 THEN bin ELSE -1 END AS bin, CASE WHEN NOT (size > 5 AND size < 45) THEN 'unassigned' WHEN type IN ('called', 'unassigned') THEN 'bin' ELSE type END AS type FROM n")
+def bin_combined_channels(spark, d):
+    limits = _starts(spark).select("marker_id", F.lit(5.0).alias("min_size"), F.lit(45.0).alias("max_size"))
+    pairs = spark.createDataFrame([(1, 1), (1, 2), (3, 3)], "channel_id int, marker_id int")
+    own = catalog.alleles(spark, d).select(F.col("marker_id").alias("channel_id"), "sample_id", "allele_id", "size", "type")
+    return ops.bin_channels(own, pairs, _bins(spark), limits).select("channel_id", "marker_id", "sample_id", "allele_id", "bin", "type")
+
+
 @query("""WITH b AS (SELECT n_name AS batch, 'NATION_' || (n_nationkey // 2) AS bin_batch FROM nation), x AS (SELECT n_name AS batch, CAST(n_nationkey % 3 AS INT) AS marker_id, CAST(n_nationkey AS INT) AS bin FROM nation WHERE n_nationkey < 4 OR n_nationkey % 7 = 0),
 c AS (SELECT batch, batch AS source, 0 AS step FROM b UNION ALL SELECT batch, bin_batch, 1 FROM b WHERE bin_batch <> batch UNION ALL SELECT b.batch, p.bin_batch, 2 FROM b JOIN b p ON p.batch = b.bin_batch WHERE b.bin_batch <> b.batch AND p.bin_batch <> p.batch
   UNION ALL SELECT b.batch, q.bin_batch, 3 FROM b JOIN b p ON p.batch = b.bin_batch JOIN b q ON q.batch = p.bin_batch WHERE b.bin_batch <> b.batch AND p.bin_batch <> p.batch AND q.bin_batch <> q.batch),

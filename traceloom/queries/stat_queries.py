@@ -5,7 +5,7 @@ from .. import catalog
 from ..catalog import MARKERS
 from ..functions import ranktests
 from ..functions.stable import fixed as stable
-from ..operators import distance, statistics, views
+from ..operators import comparisons, distance, statistics, views
 from ..sources import exports
 from .base import WIDE, core, fixed, frame, query
 
@@ -168,6 +168,37 @@ def haplotype_summary(spark, d):
     return statistics.genotype_groups(frame(spark, d, WIDE), MARKERS)
 
 
+def _three(spark, d):
+    """The frame of three sets, of which tests are made that repeat it many times."""
+    return frame(spark, d).where("label in ('ECONOMY', 'PROMO', 'SMALL')")
+
+
+@query()
+def fst_permutation_test(spark, d):
+    return comparisons.fst_permutations(_three(spark, d), rounds=20)
+
+
+@query()
+def jost_bootstrap_interval(spark, d):
+    return comparisons.jost_bootstrap(_three(spark, d), rounds=50)
+
+
+@query()
+def association_permutation_test(spark, d):
+    few = frame(spark, d, WIDE).where("label in ('ECONOMY', 'PROMO')")
+    return comparisons.association_test(few, MARKERS, rounds=10)
+
+
+@query()
+def he_comparison(spark, d):
+    return spark.createDataFrame([tuple(comparisons.compare_heterozygosity(frame(spark, d)).values())], "test string, statistic double, p double")
+
+
+@query()
+def moi_comparison(spark, d):
+    return spark.createDataFrame([tuple(comparisons.compare_infection(frame(spark, d)).values())], "test string, statistic double, p double")
+
+
 def _picture(spark, d):
     """Genotypes of few samples for pictures: those of one batch."""
     few = catalog.samples(spark, d).where("batch = 'Brand#1'").select("sample_id")
