@@ -15,6 +15,12 @@ def plain_label(label: Column) -> Column:
     return F.translate(label, "|#/ ", "___")
 
 
+def random_id(n: int) -> Column:
+    """n letters and digits that differ from row to row and run to run."""
+    parts = [F.replace(F.uuid(), F.lit("-"), F.lit("")) for _ in range(-(-n // 32))]
+    return F.substring(F.concat(*parts), 1, n)
+
+
 #: Corners of the colour ramps over the visible spectrum, in nm, with red, green and blue from 0 to 1.
 SPECTRUM = ((380, (1.0, 0.0, 1.0)), (440, (0.0, 0.0, 1.0)), (490, (0.0, 1.0, 1.0)), (510, (0.0, 1.0, 0.0)), (580, (1.0, 1.0, 0.0)), (645, (1.0, 0.0, 0.0)), (781, (1.0, 0.0, 0.0)))
 #: The eye's response falls to 0.3 at 380 nm and 780 nm, below 420 nm and from 701 nm on, by so many nm; display gamma.

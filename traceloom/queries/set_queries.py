@@ -5,7 +5,7 @@ from .. import catalog
 from ..catalog import MARKERS, catalog as tables
 from ..operators import quality, sets
 from ..operators.core import AlleleFilter
-from ..plans.query import Query
+from ..plans.query import Query, allele_report, sample_report
 from .base import WIDE, core, frame, query
 
 _S = f"WITH {catalog.SQL} "
@@ -73,6 +73,18 @@ def sample_quality(spark, d):
 _LEAN = AlleleFilter(abs_threshold=30000.0, rel_threshold=0.9, peak_types=("bin", "called"))
 
 
+@query(core() + f", {_GENOTYPED} SELECT label, genotyped, count(*)::BIGINT AS samples FROM q GROUP BY ALL")
+def genotyped_distribution(spark, d):
+    return quality.sample_quality(frame(spark, d), len(MARKERS), 0.0).groupBy("label", "genotyped").agg(F.count("*").alias("samples"))
+
+
+@query()
+def text_reports(spark, d):
+    own = built(spark, d)
+    alleles = allele_report(own.allele_summary()).select(F.col("label"), "line")
+    return sample_report(sets.set_totals(own.filtered_sample_sets)).unionByName(alleles)
+
+
 def _good(also: str, params: AlleleFilter = _LEAN) -> str:
     return core(params) + f", {_GENOTYPED} SELECT label, sample_id FROM q WHERE genotyped >= 7 * 0.5 AND (label, sample_id) IN ({also})"
 

@@ -214,3 +214,33 @@ def sized_traces(spark, d):
     aligned = channels.align_ladders(_ladder_peaks(spark, d), "LIZ500")
     found = channels.scan(channels.normalise(synthetic_channels(spark, d)).where("dye <> 'LIZ'"), CHANNEL_SCAN)
     return sizing.call_peaks(found, channels.ladder_table(aligned)).select("assay_id", "channel_id", "rtime", "size", "bin", "type")
+
+
+@query()
+def sized_file_traces(spark, d):
+    """As sized_traces, by the rules for files, each channel scanned from a least size on, and a spline instead of parabolas."""
+    from ..signals.trace import LADDER_SCAN, Scan
+
+    own = channels.normalise(synthetic_channels(spark, d))
+    aligned = channels.align_ladders(channels.scan_files(own.where("dye = 'LIZ'"), LADDER_SCAN, expected=16), "LIZ500")
+    found = channels.scan_files(own.where("dye <> 'LIZ'"), Scan(min_rtime=0), aligned=aligned, min_size=60.0)
+    return channels.spline_sizes(found, channels.ladder_table(aligned))
+
+
+@query()
+def preannotate_overlaps(spark, d):
+    """Peaks of a channel under those of another dye of the assay."""
+    own = channels.normalise(synthetic_channels(spark, d)).select("channel_id", "assay_id", "dye", "data")
+    louder = own.where("dye = 'VIC'").select((F.col("channel_id") + 1_000_000).alias("channel_id"), "assay_id", F.lit("PET").alias("dye"), F.transform("data", lambda x: x * 3).alias("data"))
+    both = own.where("dye = 'VIC'").unionByName(louder)
+    found = channels.scan(both).withColumn("qscore", F.lit(1.0))
+    return peaks.mark_overlaps(found, both).select("channel_id", "rtime", "height", "type", "qscore")
+
+
+@query()
+def export_peaks(spark, d):
+    from ..sources import exports
+
+    own = channels.normalise(synthetic_channels(spark, d)).where("dye <> 'LIZ'")
+    assays = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("assay_id"), F.col("s_name").alias("sample"), F.concat("s_name", F.lit(".fsa")).alias("filename"))
+    return exports.peak_rows(channels.scan(own), assays)

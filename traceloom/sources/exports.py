@@ -56,6 +56,18 @@ def flat(frame: DataFrame, markers: Sequence[int]) -> DataFrame:
     return own.select("label", "sample_id", F.concat_ws(" ", F.col("sample_id").cast("string"), F.transform("genotype", lambda x: F.floor(x).cast("string"))).alias("line"))
 
 
+def peak_rows(peaks: DataFrame, assays: DataFrame) -> DataFrame:
+    """SAMPLE, FILENAME, DYE, RTIME, HEIGHT, SIZE, SCORE, ID of peaks; assays has (assay_id, sample, filename)."""
+    own = peaks.join(assays.select("assay_id", "sample", "filename"), "assay_id")
+    score = F.col("qscore") if "qscore" in peaks.columns else F.lit(-1.0)
+    return own.select(F.col("sample").alias("SAMPLE"), F.col("filename").alias("FILENAME"), F.col("dye").alias("DYE"), F.col("rtime").alias("RTIME"), F.col("height").alias("HEIGHT"), F.col("size").alias("SIZE"), score.alias("SCORE"), F.xxhash64("channel_id", "rtime").alias("ID"))
+
+
+def sized_peaks(peaks: DataFrame) -> DataFrame:
+    """(size, rtime, height) of peaks that have a size: what a picture of an assay shows."""
+    return peaks.where("size <> -1").select(*[c for c in ("assay_id", "channel_id", "dye") if c in peaks.columns], "size", "rtime", "height")
+
+
 def demetics(frame: DataFrame, markers: DataFrame) -> DataFrame:
     """individual, population (from 0, by label), fragment_length, locus of each allele."""
     numbers = frame.select("label").distinct().withColumn("population", F.row_number().over(Window.orderBy("label")) - 1)  # one row a set
