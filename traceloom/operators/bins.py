@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import small
+
 
 def initial_bins(markers: DataFrame) -> DataFrame:
     """(marker_id, bin, mean, p25, p75) from start (inclusive) to stop (exclusive) in steps of repeats, one base either way."""
@@ -57,15 +59,15 @@ def _gaps(bins: DataFrame) -> DataFrame:
 def assign_bins(peaks: DataFrame, bins: DataFrame, markers: DataFrame | None = None) -> DataFrame:
     """peaks with bin: that of the neighbour whose near quartile is closer, the right one on a tie; beyond the ends the end's.
 
-    Rows of unknown size (below 0) stay as they are. With markers (marker_id, min_size, max_size), sizes not strictly between
+    A marker has many sizes and few bins, so the bins are broadcast once their number is checked. Rows of unknown size (below 0) stay as they are. With markers (marker_id, min_size, max_size), sizes not strictly between
     them become unassigned and keep their bin; others become bins if called or unassigned. The bins of a marker are joined as
     gaps, so a size meets one row.
     """
-    gaps = _gaps(bins)
+    gaps = small(_gaps(bins))
     side = F.when(F.col("right").isNull() | (F.col("size") - F.col("left.p75") < F.col("right.p25") - F.col("size")), F.col("left.bin")).otherwise(F.col("right.bin"))
     own = peaks
     if markers is not None:
-        own = own.join(F.broadcast(markers.select("marker_id", "min_size", "max_size")), "marker_id", "left")  # one row a locus
+        own = own.join(small(markers.select("marker_id", "min_size", "max_size")), "marker_id", "left")
     known = own.where("size >= 0")
     if markers is not None:
         known = known.where("size > min_size and size < max_size")

@@ -6,6 +6,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import small
+
 CELL = ("marker_id", "sample_id")
 FRAME = ("marker_id", "sample_id", "value", "size", "height", "assay_id", "allele_id", "ratio", "rank")
 
@@ -90,14 +92,15 @@ def without_stutter(cells: DataFrame, ratio: float, reach: float, base_reach: fl
     return cells.withColumn("_near", near).where(~rule).drop("_near")
 
 
-def allele_frame(alleles: DataFrame, params: AlleleFilter, sets: DataFrame | None = None, markers: DataFrame | None = None) -> DataFrame:
+def allele_frame(alleles: DataFrame, params: AlleleFilter, sets: DataFrame | None = None, markers: DataFrame | None = None, by_sample: bool = False) -> DataFrame:
     """label (where sets has one) and the columns of FRAME.
 
     Rows of samples in sets (label, sample_id; disjoint) and markers (marker_id) whose type counts and whose height exceeds
     abs_threshold are ranked by falling height inside each cell of marker and sample. Then, in this order: rows below
     rel_threshold of the cell's greatest height go; the whole cell goes if its second row is kept but above rel_cutoff; rows
     that are stutter go, without closing the gap in the ranks. If none of these rules is on, ratio is 1 and rank -1.
-    Filters on samples, markers, types and heights reach the scan; one exchange by cell serves all windows.
+    Filters on samples, markers, types and heights reach the scan; one exchange by cell serves all windows. by_sample deals
+    rows by sample instead, which serves windows over whole samples too.
     """
     rows = of_types(alleles, params.peak_types)
     if params.abs_threshold > 0:
@@ -106,13 +109,13 @@ def allele_frame(alleles: DataFrame, params: AlleleFilter, sets: DataFrame | Non
     if params.marker_ids:
         rows = rows.where(F.col(marker).isin(*params.marker_ids))
     if markers is not None:
-        rows = rows.join(markers.select(F.col("marker_id").alias(marker)), marker, "left_semi")
+        rows = rows.join(small(markers.select(F.col("marker_id").alias(marker))), marker, "left_semi")
     label = [] if sets is None or "label" not in sets.columns else ["label"]
     if sets is not None:
         rows = rows.join(sets.select("sample_id", *label), "sample_id")
     if params.plain:
         return rows.withColumn("ratio", F.lit(1.0)).withColumn("rank", F.lit(-1)).select(*label, *FRAME)
-    cells = ranked(rows)
+    cells = ranked(rows.repartition("sample_id") if by_sample else rows)
     kept = (F.col("rank") == 1) | (F.col("ratio") >= params.rel_threshold)
     if params.rel_cutoff > 0:
         second = (F.col("rank") == 2) & (F.col("ratio") > params.rel_cutoff) & (F.col("ratio") >= params.rel_threshold)

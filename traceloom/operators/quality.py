@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import views
@@ -52,6 +52,19 @@ def marker_quality(frame: DataFrame, totals: DataFrame, threshold: float) -> Dat
     return both.where(F.col("genotyped") > F.col("total") * threshold).select("marker_id", "genotyped")
 
 
+def with_good_samples(frame: DataFrame, n_markers: int, threshold: float) -> DataFrame:
+    """Rows of samples that sample_quality passes, by a window over each sample: a frame that is dealt by sample needs no exchange for it."""
+    seen = F.size(F.collect_set("marker_id").over(Window.partitionBy("sample_id")))
+    return frame.withColumn("_n", seen).where(F.col("_n") >= n_markers * threshold).drop("_n")
+
+
+def good_markers(frame: DataFrame, threshold: float) -> DataFrame:
+    """(marker_id, genotyped): markers above threshold of all samples that the frame has, counted with those in one pass."""
+    counted = frame.rollup("marker_id").agg(F.countDistinct("sample_id").alias("genotyped"), F.grouping_id().alias("_level"))
+    total = F.max(F.when(F.col("_level") == 1, F.col("genotyped"))).over(Window.partitionBy())  # one row a marker
+    return counted.withColumn("_total", total).where((F.col("_level") == 0) & (F.col("genotyped") > F.col("_total") * threshold)).select("marker_id", "genotyped")
+
+
 def sample_summary(initial: DataFrame, filtered: DataFrame, complete: DataFrame | None = None) -> DataFrame:
     """(label, initial, filtered, complete): sizes of sets before and after filtering, and samples with complete genotypes."""
     parts = [("initial", initial), ("filtered", filtered), *([("complete", complete)] if complete is not None else [])]

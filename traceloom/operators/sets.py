@@ -98,14 +98,16 @@ def select_samples(samples: DataFrame, selector: dict | list, within: DataFrame
     specification further. Without refine all labels come from one scan of samples.
     """
     labelled = {"-": selector} if isinstance(selector, list) else {k: v for k, v in selector.items() if k != "_:_"}
-    parts = []
-    for i, (label, specs) in enumerate(labelled.items()):
-        if refine is None:
-            own = samples.where(reduce(lambda a, b: a | b, (spec_condition(s) for s in specs)))
-        else:
+    colours = ["blue"] if isinstance(selector, list) else [PALETTE[i % len(PALETTE)] for i in range(len(labelled))]
+    if refine is None:
+        hits = F.array(*(F.when(reduce(lambda a, b: a | b, (spec_condition(s) for s in specs)), F.struct(F.lit(label).alias("label"), F.lit(colour).alias("colour"))) for (label, specs), colour in zip(labelled.items(), colours, strict=True)))
+        out = samples.select("sample_id", F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("s")).select("s.label", "s.colour", "sample_id")
+    else:
+        parts = []
+        for (label, specs), colour in zip(labelled.items(), colours, strict=True):
             own = reduce(lambda a, b: a.unionByName(b), (refine(samples.where(spec_condition(s)), s).select("sample_id") for s in specs)).distinct()
-        parts.append(own.select(F.lit(label).alias("label"), F.lit("blue" if isinstance(selector, list) else PALETTE[i % len(PALETTE)]).alias("colour"), "sample_id"))
-    out = reduce(lambda a, b: a.unionByName(b), parts)
+            parts.append(own.select(F.lit(label).alias("label"), F.lit(colour).alias("colour"), "sample_id"))
+        out = reduce(lambda a, b: a.unionByName(b), parts)
     return out if within is None else restrict(out, within)
 
 

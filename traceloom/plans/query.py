@@ -5,6 +5,7 @@ from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..catalog import Catalog
 from ..operators import quality, sets, statistics, views
@@ -17,7 +18,8 @@ class Query:
     """Sets, filtered sets and frames of a specification {'selector': ..., 'filter': ...} over a catalog.
 
     The filter on samples comes first, over all wanted markers; that on markers then counts the samples that are left. Cells
-    of marker and sample stand alone, so the ranked frame of all samples is also that of those left, and one scan serves all.
+    of marker and sample stand alone, so the ranked frame of all samples is also that of those left. Rows are dealt by sample
+    once, for ranks and the filter on samples; the filter on markers is one more pass, as it needs all samples.
     """
 
     def __init__(self, spec: str | dict, tables: Catalog, refine: Callable[[DataFrame, dict], DataFrame] | None = None):
@@ -31,8 +33,6 @@ class Query:
         """Ids of the wanted markers; a handful."""
         own = self.tables.markers
         if self.params.markers:
-            from pyspark.sql import functions as F
-
             own = own.where(F.lower("code").isin(*[m.lower() for m in self.params.markers]))
         ids = sorted(r.marker_id for r in own.select("marker_id").collect())
         if self.params.marker_ids:
@@ -52,25 +52,30 @@ class Query:
     @cached_property
     def frames(self) -> DataFrame:
         """The allele frame of all sets."""
-        return allele_frame(self.tables.alleles, self.params, self.sample_sets, self._wanted)
+        return allele_frame(self.tables.alleles, self.params, self.sample_sets, self._wanted, by_sample=True)
 
     @cached_property
     def filtered_sample_sets(self) -> DataFrame:
-        good = quality.filtered_samples(self.frames, self.markers, self.params.sample_quality, self.params.sample_filtering)
+        good = self._of_good_samples.select("label", "sample_id").distinct()
         return self.sample_sets.join(good, ["label", "sample_id"], "left_semi")
 
     @cached_property
     def _of_good_samples(self) -> DataFrame:
-        return self.frames.join(self.filtered_sample_sets.select("label", "sample_id"), ["label", "sample_id"], "left_semi")
+        good = quality.with_good_samples(self.frames, len(self.markers), self.params.sample_quality)
+        if self.params.sample_filtering.upper() == "N":
+            return good
+        kept = quality.filtered_samples(self.frames, self.markers, self.params.sample_quality, self.params.sample_filtering)
+        return good.join(kept, ["label", "sample_id"], "left_semi")
 
     @cached_property
     def filtered_markers(self) -> DataFrame:
-        return quality.marker_quality(self._of_good_samples, sets.set_totals(self.filtered_sample_sets), self.params.marker_quality)
+        return quality.good_markers(self._of_good_samples, self.params.marker_quality)
 
     @cached_property
     def filtered_frames(self) -> DataFrame:
         """The allele frame of good samples and good markers."""
-        return self._of_good_samples.join(self.filtered_markers.select("marker_id"), "marker_id", "left_semi")
+        # no more rows than wanted markers
+        return self._of_good_samples.join(F.broadcast(self.filtered_markers.select("marker_id")), "marker_id", "left_semi")
 
     @cached_property
     def haplotypes(self) -> DataFrame:
@@ -92,13 +97,9 @@ class Query:
 
 def allele_report(summary: DataFrame) -> DataFrame:
     """(label, marker_id, value, line): one text line an allele."""
-    from pyspark.sql import functions as F
-
     flag = F.when(F.col("isolated"), "").otherwise("*")
     return summary.select("label", "marker_id", "value", F.format_string("%3d\t%5.3f\t%3d\t%7.1f\t%6.2f - %6.2f (%5.2f)\t%s", F.col("value").cast("long"), "freq", F.col("n").cast("long"), "mean_height", "min_size", "max_size", "delta", flag).alias("line"))
 
 
 def sample_report(totals: DataFrame) -> DataFrame:
-    from pyspark.sql import functions as F
-
     return totals.select("label", F.format_string("%s\t%d", "label", F.col("n").cast("long")).alias("line"))

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import views
+from ..operators.joins import small
 
 
 def _arrays(frame: DataFrame, markers: Sequence[int], what: str) -> DataFrame:
@@ -40,7 +41,7 @@ def major_r(frame: DataFrame, samples: DataFrame, markers: Sequence[int]) -> Dat
 
 def allele_rows(frame: DataFrame, samples: DataFrame, markers: DataFrame) -> DataFrame:
     """LABEL, MARKER, SAMPLE, BIN, SIZE, HEIGHT, RATIO, RANK with codes instead of ids."""
-    own = frame.join(markers.select("marker_id", F.col("code").alias("MARKER")), "marker_id").join(samples.select("sample_id", F.col("code").alias("SAMPLE")), "sample_id")
+    own = frame.join(small(markers.select("marker_id", F.col("code").alias("MARKER"))), "marker_id").join(samples.select("sample_id", F.col("code").alias("SAMPLE")), "sample_id")
     return own.select(F.col("label").alias("LABEL"), "MARKER", "SAMPLE", F.col("value").alias("BIN"), F.col("size").alias("SIZE"), F.col("height").alias("HEIGHT"), F.col("ratio").alias("RATIO"), F.col("rank").alias("RANK"))
 
 
@@ -71,7 +72,7 @@ def sized_peaks(peaks: DataFrame) -> DataFrame:
 def demetics(frame: DataFrame, markers: DataFrame) -> DataFrame:
     """individual, population (from 0, by label), fragment_length, locus of each allele."""
     numbers = frame.select("label").distinct().withColumn("population", F.row_number().over(Window.orderBy("label")) - 1)  # one row a set
-    own = frame.join(numbers, "label").join(markers.select("marker_id", F.col("code").alias("locus")), "marker_id")
+    own = frame.join(numbers, "label").join(small(markers.select("marker_id", F.col("code").alias("locus"))), "marker_id")
     return own.select(F.col("sample_id").alias("individual"), "population", F.col("value").alias("fragment_length"), "locus")
 
 
