@@ -63,7 +63,7 @@ def assign_bins(peaks: DataFrame, bins: DataFrame, markers: DataFrame | None = N
     them become unassigned and keep their bin; others become bins if called or unassigned. The bins of a marker are joined as
     gaps, so a size meets one row.
     """
-    gaps = small(_gaps(bins))
+    gaps = small(_gaps(bins).withColumnRenamed("marker_id", "_of"))
     side = F.when(F.col("right").isNull() | (F.col("size") - F.col("left.p75") < F.col("right.p25") - F.col("size")), F.col("left.bin")).otherwise(F.col("right.bin"))
     own = peaks
     if markers is not None:
@@ -71,8 +71,8 @@ def assign_bins(peaks: DataFrame, bins: DataFrame, markers: DataFrame | None = N
     known = own.where("size >= 0")
     if markers is not None:
         known = known.where("size > min_size and size < max_size")
-    hit = known.join(gaps, (known["marker_id"] == gaps["marker_id"]) & (known["size"] >= gaps["low"]) & (known["size"] < gaps["high"])).drop(gaps["marker_id"])
-    done = hit.withColumn("bin", side).drop("low", "high", "left", "right")
+    hit = known.join(gaps, F.expr("marker_id = _of and size >= low and size < high"))
+    done = hit.withColumn("bin", side).drop("_of", "low", "high", "left", "right")
     if "type" in peaks.columns and markers is not None:
         done = done.withColumn("type", F.when(F.col("type").isin("unassigned", "called"), "bin").otherwise(F.col("type")))
     rest = own.where("size < 0 or size is null")
