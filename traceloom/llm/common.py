@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 #: ASCII white space that separates words in every contract here.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Rows of one Arrow batch of whole texts; keeps a batch of very long texts within memory.
-TEXT_ROWS = 256
+#: Rows and bytes of one Arrow batch of whole texts, at most; a batch of very long texts has fewer rows.
+TEXT_ROWS, TEXT_BYTES = 256, 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,6 +40,7 @@ def durable(df: DataFrame) -> DataFrame:
 
 def small_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(TEXT_BYTES))
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
