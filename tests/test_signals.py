@@ -149,6 +149,12 @@ def test_colours_of_wavelengths(spark):
         assert spark.range(1).select(text.wavelength_rgb(F.lit(nm), most).alias("c")).first().c == rgb
 
 
+def test_options(spark):
+    own = spark.createDataFrame([("A=1,2;B",), (" A = x ;; A=y=z ",), ("",), (None,)], "t string")
+    assert [r.m for r in own.select(text.options_map(F.col("t")).alias("m")).collect()] == [{"A": "1,2", "B": "true"}, {"A": "y=z"}, {}, None]
+    assert spark.range(3).select(text.random_id(40).alias("r")).distinct().where("length(r) = 40").count() == 3
+
+
 def test_bins_of_sizes(spark):
     own = spark.createDataFrame([(1, 100, 100.2, 99.9, 100.5), (1, 104, 104.1, 103.8, 104.4)], "marker_id int, bin int, mean double, p25 double, p75 double")
     sizes = spark.createDataFrame([(1, x) for x in (99.0, 102.0, 102.2, 110.0, -1.0)], "marker_id int, size double")

@@ -4,10 +4,12 @@ from pyspark.sql import functions as F
 
 
 def options_map(text: Column) -> Column:
-    """'A=1,2;B' as a map: parts between ';' are key=value; a bare key means 'true'. Null text gives null, blanks are trimmed."""
+    """'A=1,2;B' as a map: parts between ';' are key=value, a bare key means 'true', and the last of a key counts. Null text gives null, blanks are trimmed."""
     parts = F.filter(F.transform(F.split(text, ";"), lambda p: F.trim(p)), lambda p: p != "")
-    pairs = F.transform(parts, lambda p: F.struct(F.trim(F.substring_index(p, "=", 1)).alias("key"), F.when(p.contains("="), F.trim(F.regexp_replace(p, r"^[^=]*=", ""))).otherwise("true").alias("value")))
-    return F.map_from_entries(F.array_distinct(pairs))
+    value = lambda p: F.when(p.contains("="), F.trim(F.regexp_replace(p, r"^[^=]*=", ""))).otherwise("true")
+    pairs = F.transform(parts, lambda p: F.named_struct(F.lit("key"), F.trim(F.substring_index(p, "=", 1)), F.lit("value"), value(p)))
+    last = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["key"] == x["key"]))
+    return F.map_from_entries(last)
 
 
 def plain_label(label: Column) -> Column:
