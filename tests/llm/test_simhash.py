@@ -109,6 +109,32 @@ def test_one_of_each_near_group_stays(spark):
     assert all(9000 + i in ids for i in range(40))
 
 
+def _whole(spark, texts):
+    """keep_one against all pairs: one text of each class stays, that of the least id."""
+    fps = [simhash.fingerprint(t) for t in texts]
+    sets = [set(zip(*(t.lower().split()[i:] for i in range(5)), strict=False)) or {t.lower()} for t in texts]
+
+    def linked(i, j):
+        return bin(fps[i] ^ fps[j]).count("1") <= 3 or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+
+    root = slow_components(texts, linked)
+    want = {min(i for i, x in enumerate(root) if x == r) for r in set(root)}
+    got = [x.doc_id for x in simhash.keep_one(documents(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == want, (len(set(got) - want), len(want - set(got)))
+
+
+def test_near_copies_that_share_a_passage(spark):
+    r = rng(21)
+    passage, texts = words(r, 120).split(), []
+    for _ in range(150):
+        own = words(r, 40).split()
+        copy = list(own)
+        copy[r.randrange(36, 40)] = "edited"
+        texts += [" ".join(own[:20] + passage + own[20:]), " ".join(copy[:20] + passage + copy[20:])]
+    _whole(spark, texts)
+
+
 def test_edges(spark):
     assert simhash.simhash_groups(empty(spark)).count() == 0 and simhash.keep_one(empty(spark)).count() == 0
     rows = [(None, "same words in here", "s"), (4, "same words in here", "s"), (4, "same words in here", "s"), (9, None, "s"), (8, "", "s"), (None, "alone without id", "s")]

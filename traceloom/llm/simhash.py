@@ -6,7 +6,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -18,6 +18,10 @@ SHARD, LEAST_SHARDS, SAMPLED, MOST_SAMPLED = 8192, 16, 32, 1 << 17
 BLOCK = 32
 #: Words of a segment, at least and at most; one in SPREAD words starts one; segments kept of a text.
 SHORTEST, LONGEST, SPREAD, KEPT = 6, 40, 8, 8
+#: One in SHARE texts tells which shingles are frequent, LISTED of them at most; members of a block of a class of equal
+#: shingles; names of texts that are broadcast, at most.
+SHARE, LISTED, CLASS, NAMED = 16, 1 << 19, 1024, 200_000
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def fingerprint(text: str, words: int = 3) -> int:
@@ -246,7 +250,7 @@ def _candidates(marked: DataFrame) -> DataFrame:
 
     A text is paired with four texts of each such class: the one whose segments most other texts have, as an original has
     among its edited copies, and three by hashes, so that small classes meet whole; a class gives four times its size in pairs
-    at most. A tree over
+    at most. This joins most copies cheaply; _prefix_pairs finds all pairs that it leaves. A tree over
     fingerprints of segments would send each to ever more shards as it grows, and nearly equal texts have equal segments.
     """
     placed = durable(marked.groupBy("k").agg(F.first("segs").alias("segs")).select("k", F.size("segs").alias("own"), F.explode("segs").alias("seg")))
@@ -259,12 +263,105 @@ def _candidates(marked: DataFrame) -> DataFrame:
     return common.where("common * 4 >= own").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def shingle_hashes(text: str, words: int) -> np.ndarray:
+    """Hashes of the different shingles that jaccard compares."""
+    parts = text.encode().translate(_LOWER).split()
+    if len(parts) < words:
+        return np.array([xxh64_intdigest(b" ".join(parts), 5)], np.uint64)
+    own = np.fromiter(map(xxh64_intdigest, parts), np.uint64, len(parts))
+    n = len(own) - words + 1
+    h = own[:n].copy()
+    for j in range(1, words):
+        h = h * _FACTOR + own[j : j + n]
+    h ^= h >> np.uint64(29)
+    return np.unique(h * _FACTOR)
+
+
+def _short(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def _shingles(words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for x in texts(batch):
+            yield pa.RecordBatch.from_arrays([pa.array(_short(shingle_hashes(x, words)))], ["s"])
+
+
+def common_shingles(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Short hashes of shingles that a sample of the texts repeats, sorted, and how often; the most frequent LISTED of them.
+
+    They only order shingles, so that frequent ones come last: what is missing here costs candidates, never links.
+    """
+    few = rows.where(F.pmod(F.xxhash64(F.lit("common"), "k"), F.lit(SHARE)) == 0).select("text")
+    counts = few.mapInArrow(partial(_shingles, words), "s int").groupBy("s").agg(F.count("*").cast("int").alias("n")).where("n > 1")
+    table = counts.orderBy(F.desc("n"), "s").limit(LISTED).toArrow()
+    s, n = (table.column(c).to_numpy() for c in ("s", "n"))
+    order = np.argsort(s, kind="stable")
+    return s[order], n[order]
+
+
+def prefix(text: str, words: int, least: float, common: tuple[np.ndarray, np.ndarray]) -> tuple[int, np.ndarray]:
+    """The number of a text's shingles, and short hashes of its rarest ones: two texts as similar as `least` have one in common."""
+    h = shingle_hashes(text, words)
+    s = _short(h)
+    count = np.zeros(len(h), np.int64)
+    if len(common[0]):
+        at = np.minimum(np.searchsorted(common[0], s), len(common[0]) - 1)
+        count = np.where(common[0][at] == s, common[1][at], 0)
+    return len(h), s[np.lexsort((h, count))[: len(h) - int(np.ceil(least * len(h) - 1e-9)) + 1]]
+
+
+def _rarest(words: int, least: float, common, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        own = [prefix(x, words, least, common.value) for x in texts(batch)]
+        stops = pa.array(np.cumsum([0, *(len(s) for _, s in own)]), pa.int32())
+        lists = pa.ListArray.from_arrays(stops, pa.array(np.concatenate([s for _, s in own]) if own else np.zeros(0, np.int32)))
+        yield pa.RecordBatch.from_arrays([column(batch, "k"), pa.array([n for n, _ in own], pa.int32()), lists], ["k", "n", "rare"])
+
+
+def _prefix_pairs(placed: DataFrame, least: float) -> DataFrame:
+    """(a, b) of text hashes of different roots that may share `least` of their shingles; placed has k, root, n, rare.
+
+    No pair of that similarity is missing. Texts meet on shingles of their prefixes, unless they are of one class already. A
+    pair goes if the shingles common to the prefixes, and all that follow the prefix that ends first, are too few together.
+    Members of a large class are dealt over blocks.
+    """
+    of = Window.partitionBy("s")
+    rows = placed.select(F.explode("rare").alias("s"), "k", "root", "n")
+    classes = rows.withColumns({"lo": F.min("root").over(of), "hi": F.max("root").over(of), "size": F.count("*").over(of)})
+    shared = durable(classes.where("lo <> hi").select("s", "k", "root", "n", F.ceil(F.col("size") / CLASS).cast("int").alias("blocks")))
+    left = shared.select("s", F.col("k").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int").alias("block"))
+    right = shared.select("s", F.col("k").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    near = F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9
+    met = left.join(right, ["s", "block"]).where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & near)
+    found = met.groupBy("a", "b").agg(F.count("*").alias("common"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    after = F.ceil(F.greatest("na", "nb") * least - 1e-9) - 1
+    return found.where(F.col("common") + after >= (F.col("na") + F.col("nb")) * (least / (1 + least)) - 1e-9).select("a", "b")
+
+
+def _links(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, least: float, words: int) -> DataFrame:
+    """The pairs of text hashes whose whole texts share `least` of their shingles or more."""
+    spark = rows.sparkSession
+    wanted = pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).distinct()
+    named = durable(nodes.join(wanted, "k", "left_semi").select("k", F.coalesce("best.doc_id", F.lit(-(1 << 63))).alias("d")))
+    if named.count() <= NAMED:
+        named = F.broadcast(named)
+    few = rows.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), "k", "text").join(named, ["d", "k"], "left_semi").select("k", "text").dropDuplicates(["k"])
+    few = durable(few)
+    both = pairs.join(few.select(F.col("k").alias("a"), F.col("text").alias("text_a")), "a").join(few.select(F.col("k").alias("b"), F.col("text").alias("text_b")), "b")
+    small_batches(spark)
+    links = durable(both.mapInArrow(partial(_verified, least, words), "a long, b long"))
+    small_batches(spark, 10_000)
+    return links
+
+
 def near_groups(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int = 3) -> DataFrame:
     """doc_id, k, chosen of every row of docs: k is a hash of the text, chosen marks one document of each near-duplicate class.
 
     Two texts link if their fingerprints differ in `radius` bits or fewer, as in simhash_groups, or if the shingles of `words`
-    words that they share are `least` of all they have or more. Whole fingerprints miss most pairs of the second kind, so
-    equal segments find candidates; each is decided on the whole texts. Equal texts are one node throughout.
+    words that they share are `least` of all they have or more; no such pair is left unlinked, directly or by others. Equal
+    segments find most links at little cost; then the texts' rarest shingles find every pair that may be missing between the
+    classes so made. Each pair is decided on the whole texts. Equal texts are one node throughout.
     Chosen is the document of the least doc_id, or of the least k where rows share it or have none; null and empty texts are
     alike and link; an empty table gives no rows; other columns are ignored.
     """
@@ -272,21 +369,19 @@ def near_groups(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int
     small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("k"), F.col("text").alias("text"))
     marked = durable(rows.mapInArrow(partial(_marked, 3), "doc_id long, k long, fp long, segs array<long>"))
+    common = spark.sparkContext.broadcast(common_shingles(rows, words))
+    small_batches(spark)
+    rare = durable(rows.select("k", "text").mapInArrow(partial(_rarest, words, least, common), "k long, n int, rare array<int>"))
     small_batches(spark, 10_000)
     whole = hamming_components(marked, radius)
     nodes = durable(marked.groupBy("k").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")).alias("best"), F.first("fp").alias("fp")))
     in_class = nodes.select("k", "fp").join(whole, "fp", "left").select("k", F.coalesce("root", "fp").alias("root"))
     near = in_class.join(in_class.groupBy("root").agg(F.min("k").alias("m")), "root").select(F.col("k").alias("a"), F.col("m").alias("b")).where("a <> b")
-    pairs = durable(_candidates(marked))
-    wanted = pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).distinct()
-    named = nodes.join(wanted, "k", "left_semi").select("k", F.coalesce("best.doc_id", F.lit(-(1 << 63))).alias("d"))
-    few = rows.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), "k", "text").join(named, ["d", "k"], "left_semi").select("k", "text").dropDuplicates(["k"])
-    few = durable(few)
-    both = pairs.join(few.select(F.col("k").alias("a"), F.col("text").alias("text_a")), "a").join(few.select(F.col("k").alias("b"), F.col("text").alias("text_b")), "b")
-    small_batches(spark)
-    links = durable(both.mapInArrow(partial(_verified, least, words), "a long, b long"))
-    small_batches(spark, 10_000)
-    roots = connected(near.unionByName(links)).select(F.col("node").alias("k"), "root")
+    links = _links(rows, nodes, durable(_candidates(marked)), least, words)
+    first = durable(connected(near.unionByName(links)).select(F.col("node").alias("k"), "root"))
+    placed = rare.dropDuplicates(["k"]).join(first, "k", "left").withColumn("root", F.coalesce("root", "k"))
+    more = _links(rows, nodes, durable(_prefix_pairs(placed, least)), least, words)
+    roots = connected(first.select(F.col("k").alias("a"), F.col("root").alias("b")).unionByName(more)).select(F.col("node").alias("k"), "root")
     classed = durable(nodes.select("k", "best").join(roots, "k", "left").select("k", "best", F.coalesce("root", "k").alias("root")))
     winners = classed.join(classed.groupBy("root").agg(F.min("best").alias("winner")), "root").select("k", "winner")
     chosen = F.col("doc_id").eqNullSafe(F.col("winner.doc_id")) & (F.col("k") == F.col("winner.k"))
