@@ -135,6 +135,27 @@ def test_near_copies_that_share_a_passage(spark):
     _whole(spark, texts)
 
 
+def test_near_copies_of_short_texts(spark):
+    r = rng(22)
+    texts = ["", " \n", "one two", "One  two", "one two three four five"]
+    for n in [5, 6, 8, 9, 10, 11, 12, 15, 20, 30, 45, 60] * 8:
+        w = words(r, n).split()
+        texts += [" ".join(w), " ".join(["edited", *w[1:]]), " ".join([*w, "added"]), " ".join(w[:-1])]
+    _whole(spark, texts)
+
+
+def test_chains_and_many_texts_of_one_passage(spark):
+    r = rng(23)
+    passage, texts = words(r, 90), []
+    for _ in range(40):
+        texts += [passage + " " + words(r, 8), passage + " " + words(r, 40)]
+    w = words(r, 100).split()
+    for i in range(0, 60, 3):
+        w[i] = "step"
+        texts.append(" ".join(w))
+    _whole(spark, texts)
+
+
 def test_edges(spark):
     assert simhash.simhash_groups(empty(spark)).count() == 0 and simhash.keep_one(empty(spark)).count() == 0
     rows = [(None, "same words in here", "s"), (4, "same words in here", "s"), (4, "same words in here", "s"), (9, None, "s"), (8, "", "s"), (None, "alone without id", "s")]
