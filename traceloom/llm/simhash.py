@@ -19,8 +19,9 @@ BLOCK = 32
 #: Words of a segment, at least and at most; one in SPREAD words starts one; segments kept of a text.
 SHORTEST, LONGEST, SPREAD, KEPT = 6, 40, 8, 8
 #: One in SHARE texts tells which shingles are frequent, LISTED of them at most; members of a block of a class of equal
-#: shingles; names of texts that are broadcast, at most.
-SHARE, LISTED, CLASS, NAMED = 16, 1 << 19, 1024, 200_000
+#: shingles; names of texts that are broadcast, at most; pairs of two classes that are decided before
+#: all others, which are decided if the classes are still apart.
+SHARE, LISTED, CLASS, NAMED, TRIED = 16, 1 << 19, 1024, 200_000, 3
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -319,24 +320,28 @@ def _rarest(words: int, least: float, common, batches: Iterator[pa.RecordBatch])
         yield pa.RecordBatch.from_arrays([column(batch, "k"), pa.array([n for n, _ in own], pa.int32()), lists], ["k", "n", "rare"])
 
 
-def _prefix_pairs(placed: DataFrame, least: float) -> DataFrame:
-    """(a, b) of text hashes of different roots that may share `least` of their shingles; placed has k, root, n, rare.
+def _shared(placed: DataFrame) -> DataFrame:
+    """(s, k, root, n, blocks): texts by the shingles of their prefixes that texts of another root have in theirs."""
+    of = Window.partitionBy("s")
+    rows = placed.select(F.explode("rare").alias("s"), "k", "root", "n")
+    classes = rows.withColumns({"lo": F.min("root").over(of), "hi": F.max("root").over(of), "size": F.count("*").over(of)})
+    return durable(classes.where("lo <> hi").select("s", "k", "root", "n", F.ceil(F.col("size") / CLASS).cast("int").alias("blocks")))
+
+
+def _prefix_pairs(shared: DataFrame, least: float) -> DataFrame:
+    """(a, b, ra, rb, common) of text hashes of different roots that may share `least` of their shingles.
 
     No pair of that similarity is missing. Texts meet on shingles of their prefixes, unless they are of one class already. A
     pair goes if the shingles common to the prefixes, and all that follow the prefix that ends first, are too few together.
     Members of a large class are dealt over blocks.
     """
-    of = Window.partitionBy("s")
-    rows = placed.select(F.explode("rare").alias("s"), "k", "root", "n")
-    classes = rows.withColumns({"lo": F.min("root").over(of), "hi": F.max("root").over(of), "size": F.count("*").over(of)})
-    shared = durable(classes.where("lo <> hi").select("s", "k", "root", "n", F.ceil(F.col("size") / CLASS).cast("int").alias("blocks")))
     left = shared.select("s", F.col("k").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int").alias("block"))
     right = shared.select("s", F.col("k").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     near = F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9
     met = left.join(right, ["s", "block"]).where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & near)
-    found = met.groupBy("a", "b").agg(F.count("*").alias("common"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    found = met.groupBy("a", "b").agg(F.count("*").alias("common"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.first("ra").alias("ra"), F.first("rb").alias("rb"))
     after = F.ceil(F.greatest("na", "nb") * least - 1e-9) - 1
-    return found.where(F.col("common") + after >= (F.col("na") + F.col("nb")) * (least / (1 + least)) - 1e-9).select("a", "b")
+    return found.where(F.col("common") + after >= (F.col("na") + F.col("nb")) * (least / (1 + least)) - 1e-9).select("a", "b", "ra", "rb", "common")
 
 
 def _links(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, least: float, words: int) -> DataFrame:
@@ -380,8 +385,15 @@ def near_groups(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int
     links = _links(rows, nodes, durable(_candidates(marked)), least, words)
     first = durable(connected(near.unionByName(links)).select(F.col("node").alias("k"), "root"))
     placed = rare.dropDuplicates(["k"]).join(first, "k", "left").withColumn("root", F.coalesce("root", "k"))
-    more = _links(rows, nodes, durable(_prefix_pairs(placed, least)), least, words)
-    roots = connected(first.select(F.col("k").alias("a"), F.col("root").alias("b")).unionByName(more)).select(F.col("node").alias("k"), "root")
+    met = durable(_prefix_pairs(_shared(placed), least))
+    best = F.row_number().over(Window.partitionBy(F.least("ra", "rb"), F.greatest("ra", "rb")).orderBy(F.desc("common"), "a", "b"))
+    tried = durable(met.withColumn("place", best).where(F.col("place") <= TRIED).select("a", "b"))
+    joined = first.select(F.col("k").alias("a"), F.col("root").alias("b")).unionByName(_links(rows, nodes, tried, least, words))
+    second = durable(connected(joined).select(F.col("node").alias("k"), F.col("root").alias("now")))
+    now = lambda side: second.select(F.col("k").alias(side), F.col("now").alias(f"now_{side}"))
+    apart = met.join(now("a"), "a", "left").join(now("b"), "b", "left").where(F.coalesce("now_a", "a") != F.coalesce("now_b", "b")).select("a", "b")
+    more = _links(rows, nodes, durable(apart.join(tried, ["a", "b"], "left_anti")), least, words)
+    roots = connected(joined.unionByName(more)).select(F.col("node").alias("k"), "root")
     classed = durable(nodes.select("k", "best").join(roots, "k", "left").select("k", "best", F.coalesce("root", "k").alias("root")))
     winners = classed.join(classed.groupBy("root").agg(F.min("best").alias("winner")), "root").select("k", "winner")
     chosen = F.col("doc_id").eqNullSafe(F.col("winner.doc_id")) & (F.col("k") == F.col("winner.k"))
