@@ -46,6 +46,50 @@ def test_ladder_with_noise_peaks():
     assert got.fit is not None and max(abs(np.polyval(got.fit.z, t) - s) for s, t in zip(LADDERS["LIZ500"].sizes, at, strict=True)) < 2
 
 
+@pytest.mark.parametrize(("kind", "method"), [("good", "fast"), ("fair", "fast"), ("short", "fast"), ("unknown", "greedy"), ("noisy", "greedy")])
+def test_stored_ladder(kind, method):
+    """The cascade pairs every size with its own peak, whatever is known of the peaks."""
+    sizes = np.array(LADDERS["LIZ500"].sizes)
+    at = np.round(1200 + 14 * sizes + 0.002 * sizes**2).astype(int)
+    rtimes, quality = list(at), np.ones(len(at))
+    if kind == "fair":
+        quality[1::2] = 0.8
+    if kind == "short":  # the run ended before the last two sizes
+        rtimes, quality = rtimes[:-2], quality[:-2]
+    if kind in ("unknown", "noisy"):
+        quality[:] = 0.3
+    if kind == "noisy":
+        rtimes, quality = [*rtimes, 1350, 2890, 5200], np.full(len(at) + 3, 0.3)
+    heights = np.where(np.isin(rtimes, at), 800.0, 60.0)
+    got = ladder.align_stored(rtimes, heights, quality, LADDERS["LIZ500"])
+    want = list(zip(sizes.tolist(), at.tolist(), strict=True))[: 14 if kind == "short" else 16]
+    assert got.method.startswith(method) and got.fit.pairs == want
+    assert max(abs(np.polyval(got.fit.z, t) - s) for s, t in want) < 0.5
+    assert got.score > (0.7 if kind == "short" else 0.99)
+
+
+def test_worst_pair_is_dropped():
+    fit = ladder.Fit(1.0, 1.0, np.array([1.0, 0.0]), [(10.0, 10), (20.0, 35), (30.0, 30), (40.0, 40), (50.0, 50), (60.0, 60)])
+    assert ladder.Stored.without_worst(fit).tolist() == [[10, 20], [30, 30], [40, 40], [50, 50], [60, 60]]
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_path_against_all_ways(seed):
+    """The greatest sum over every way to pair rows and columns in order."""
+    scores, gap = np.random.default_rng(seed).normal(size=(3, 4)), -0.3
+    n, m = scores.shape
+
+    def best(i, j):
+        if i == n:
+            return 0.0
+        if j == m:
+            return (n - i) * gap / 4
+        first = gap / 4 if j == 0 else gap
+        return max(scores[i, j] + best(i + 1, j + 1), best(i, j + 1), first + best(i + 1, j))
+
+    assert ladder.best_path(scores, gap)[0] == pytest.approx(best(0, 0))
+
+
 def test_too_few_peaks():
     assert ladder.align_file([1, 2], [1.0, 1.0], LADDERS["LIZ500"]).fit is None
 
