@@ -4,13 +4,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tests.llm.helpers import ODD, documents, empty
-from traceloom.llm import token_files
+from traceloom.llm import token_files, tokens
 from traceloom.llm.common import new_path
 from traceloom.llm.tokens import Encoder
 
@@ -24,7 +25,9 @@ def test_boundaries(steps):
     data = token_files.EliasFano.encode(values).to_bytes()
     back, at = token_files.EliasFano.from_bytes(memoryview(data), 0)
     assert at == len(data) and back.values().tolist() == values.tolist()
-    assert [back.select(i) for i in range(len(values))] == values.tolist()
+    assert [int(back.select(np.array([i]))[0]) for i in range(len(values))] == values.tolist()
+    some = np.arange(0, len(values), 3)
+    assert back.select(some).tolist() == values[some].tolist()
 
 
 def test_space():
@@ -63,7 +66,7 @@ def test_round_trip(spark, shard_ids):
 
 
 def test_one_document_of_a_shard_and_damage():
-    parts = [np.arange(n, dtype="<u4").tobytes() for n in (3, 1, 5)]
+    parts = [np.arange(n, dtype="<u2").tobytes() for n in (3, 1, 5)]
     data = token_files.Shard.build(0, 0, [None, -4, 9], parts, 2) + b"\n"
     shard = token_files.Shard(data)
     assert shard.document(2).tolist() == [0, 1, 2, 3, 4] and shard.document(0).tolist() == [0, 1, 2] and shard.n_null == 1
@@ -76,3 +79,18 @@ def test_empty(spark):
     out = new_path(spark, "test-tokens")
     token_files.write_token_files(empty(spark), out, BYTES)
     assert token_files.read_token_files(spark, out).count() == 0
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_long_texts_of_different_words_and_a_small_cache(name, monkeypatch):
+    monkeypatch.setattr(tokens, "GROUP", 300)
+    path = public_tokenizers.path(name)
+    own, library = Encoder(path), Tokenizer.from_file(path)
+    own.parts = tokens.Known(own._part, 4000)
+    rng = random.Random(3)
+    texts = ["", "x" * 900, " ".join(f"Word{rng.randrange(10**9)}x" for _ in range(2000)), "two\n\nlines  and\n more ", " 字 ".join(["plain words here"] * 60), "", "last"]
+    texts += ["\n".join(" ".join(f"é{rng.randrange(99)}." for _ in range(9)) for _ in range(20)) for _ in range(5)]
+    got = [x.tolist() for x in own.raw(pa.array(texts))]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    entries = [*own.parts.items(), *own.parts.old.items()]
+    assert sum(tokens.ENTRY + len(k) + len(v) for k, v in entries) <= 2 * (4000 + tokens.ENTRY + 2000)

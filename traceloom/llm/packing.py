@@ -8,10 +8,10 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, durable, small_batches, texts
+from .common import column, durable, small_batches
 from .tokens import encoder
 
 CLASSES = 64
@@ -143,55 +143,87 @@ def placements(groups: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.
     return {n: tuple(np.array(x, np.int64).T) for n, x in out.items()}
 
 
+_PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
+
+
 def _pieces(path: str, end: int, size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    enc, here = encoder(path), TaskContext.get().partitionId()
+    enc, key = encoder(path), TaskContext.get().partitionId() << 40
     stop = np.array([end], "<u4").tobytes()
-    seen = np.zeros(size + 1, np.int64)
     for batch in batches:
         rows = []
-        for name, text in zip(column(batch, "doc_id").to_pylist(), texts(batch), strict=True):
-            raw = enc.raw(text) + stop
+        for name, ids in zip(column(batch, "doc_id").to_pylist(), enc.raw(column(batch, "text")), strict=True):
+            raw = ids.tobytes() + stop
             for k, at in enumerate(range(0, len(raw), 4 * size)):
                 piece = raw[at : at + 4 * size]
-                n = len(piece) // 4
-                rows.append((name, k, at // 4, n, zlib.crc32(piece), here, int(seen[n])))
-                seen[n] += 1
-        kinds = (pa.int64(), pa.int32(), *[pa.int64()] * 5)
-        names = ("doc_id", "piece", "start", "length", "ids_crc32", "task", "nth")
+                rows.append((name, k, at // 4, len(piece) // 4, zlib.crc32(piece), key))
+                key += 1
+        kinds = (pa.int64(), pa.int32(), *[pa.int64()] * 4)
+        names = ("doc_id", "piece", "start", "length", "ids_crc32", "key")
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], list(names))
 
 
-def _placed(plan: dict, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _numbered(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the number of this task and the place of each piece among those of its length in this task."""
+    here, seen = TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
+    for batch in batches:
+        length = column(batch, "length").to_numpy()
+        order = np.argsort(length, kind="stable")
+        own = length[order]
+        nth = np.empty(len(own), np.int64)
+        nth[order] = np.arange(len(own)) - np.searchsorted(own, own, "left") + seen[own]
+        seen += np.bincount(own, minlength=size + 1)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(own), here)), pa.array(nth)], [*batch.schema.names, "task", "nth"])
+
+
+def _tallied(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many pieces of each length a task has."""
+    seen, task = np.zeros(size + 1, np.int64), 0
+    for batch in batches:
+        seen += np.bincount(column(batch, "length").to_numpy(), minlength=size + 1)
+        task = column(batch, "task").to_numpy().max(initial=task)
+    length = np.flatnonzero(seen)
+    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(length), task)), pa.array(length), pa.array(seen[length])], ["task", "length", "n"])
+
+
+def _placed(size: int, plan: dict, keys: np.ndarray, before: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        length, rank = (column(batch, c).to_numpy() for c in ("length", "rank"))
+        length, task, nth = (column(batch, c).to_numpy() for c in ("length", "task", "nth"))
+        rank = before[np.searchsorted(keys, task * (size + 1) + length)] + nth
         sequence, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
         for n in np.unique(length):
             at = np.flatnonzero(length == n)
             starts, firsts, offsets = plan[int(n)]
             run = np.searchsorted(starts, rank[at], "right") - 1
             sequence[at], offset[at] = firsts[run] + rank[at] - starts[run], offsets[run]
-        keep = ["doc_id", "piece", "start", "length", "ids_crc32"]
+        keep = [x.split()[0] for x in _PIECE.split(", ")]
         yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in keep), pa.array(sequence), pa.array(offset)], [*keep, "sequence_id", "offset"])
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = 4096) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Only the histogram of lengths (at most `size` rows) reaches the driver; a piece finds its place from its rank among pieces
-    of its length: counts of earlier tasks plus its place in its own. Null and empty texts are pieces of the end id alone;
-    repeated rows are packed each for itself; null ids stay null; an empty table gives no rows.
+    Pieces are dealt out by ranges of length, and among equal lengths by a hash, so a task has few lengths and a length that
+    most pieces have is spread. A piece finds its place from its rank among pieces of its length: those in earlier tasks and
+    those before it in its own. What reaches the driver are the counts of lengths in tasks, at most one for each length and
+    one more for each task. Null and empty texts are pieces of the end id alone; repeated rows are packed each for itself;
+    null ids stay null; an empty table gives no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    pieces = durable(rows.mapInArrow(partial(_pieces, tokenizer, end_id, size), "doc_id long, piece int, start long, length long, ids_crc32 long, task long, nth long"))
-    by_task = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
-    before = by_task.select("length", "task", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    histogram = {int(n): int(c) for n, c in pieces.groupBy("length").count().collect()}
-    plan = placements(pack_histogram(histogram, size))
-    ranked = pieces.join(before, ["length", "task"]).withColumn("rank", F.col("before") + F.col("nth"))
-    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
-    return ranked.mapInArrow(partial(_placed, plan), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    pieces = durable(rows.mapInArrow(partial(_pieces, tokenizer, end_id, size), f"{_PIECE}, key long"))
+    dealt = pieces.repartitionByRange("length", F.xxhash64("key")).drop("key")
+    dealt = durable(dealt.mapInArrow(partial(_numbered, size), f"{_PIECE}, task long, nth long"))
+    tally = dealt.mapInArrow(partial(_tallied, size), "task long, length long, n long").toArrow()
+    task, length, n = (tally.column(c).to_numpy() for c in ("task", "length", "n"))
+    order = np.lexsort((task, length))
+    task, length, n = task[order], length[order], n[order]
+    run = np.cumsum(n) - n
+    before = run - run[np.searchsorted(length, length, "left")]
+    keys = task * (size + 1) + length
+    order = np.argsort(keys)
+    plan = placements(pack_histogram({int(x): int(n[length == x].sum()) for x in np.unique(length)}, size))
+    return dealt.mapInArrow(partial(_placed, size, plan, keys[order], before[order]), f"{_PIECE}, sequence_id long, offset long")
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

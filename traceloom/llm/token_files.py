@@ -8,16 +8,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import column, new_path, small_batches, texts
+from .common import column, new_path, small_batches
 from .tokens import encoder
 
 MAGIC = b"TLIDS\x00\x01\x00"
 _HEAD = struct.Struct("<8sqqqqqqB")
 SAMPLE = 256
-SHARD_IDS = 2_000_000
+SHARD_IDS = 8_000_000
 
 
 class EliasFano:
@@ -60,16 +60,21 @@ class EliasFano:
         part = int.from_bytes(self.low[first // 8 : (first + self.bits + 7) // 8].tobytes(), "little")
         return (part >> first % 8) & ((1 << self.bits) - 1)
 
-    def select(self, i: int) -> int:
-        """The i-th value, from the mark before it and at most SAMPLE ones after that."""
-        at, left = int(self.marks[i // SAMPLE]), i % SAMPLE
-        byte, skip = divmod(at, 8)
-        while True:
-            ones = np.flatnonzero(np.unpackbits(self.high[byte : byte + 64], bitorder="little")[skip:])
-            if len(ones) > left:
-                at = byte * 8 + skip + int(ones[left])
-                return ((at - i) << self.bits) | self._low(i)
-            left, byte, skip = left - len(ones), byte + 64, 0
+    def select(self, at: np.ndarray) -> np.ndarray:
+        """The values at these ascending places: only the bytes between their marks are read."""
+        at = np.asarray(at, np.int64)
+        if not len(at):
+            return at
+        first, last = int(at[0]) // SAMPLE, int(at[-1]) // SAMPLE
+        begin = int(self.marks[first])
+        end = int(self.marks[last + 1]) if last + 1 < len(self.marks) else 8 * len(self.high)
+        ones = np.flatnonzero(np.unpackbits(self.high[begin // 8 : (end + 7) // 8], bitorder="little"))
+        ones = ones[ones >= begin % 8][at - first * SAMPLE] + begin // 8 * 8
+        low = np.zeros(len(at), np.int64)
+        if self.bits:
+            bit = at[:, None] * self.bits + np.arange(self.bits)
+            low = (self.low[bit >> 3] >> (bit & 7) & 1).astype(np.int64) @ (1 << np.arange(self.bits, dtype=np.int64))
+        return ((ones - at) << self.bits) | low
 
     def values(self) -> np.ndarray:
         high = np.flatnonzero(np.unpackbits(self.high, bitorder="little")) - np.arange(self.n)
@@ -94,35 +99,43 @@ class Shard:
             raise ValueError("a token shard is cut short")
 
     def document(self, i: int) -> np.ndarray:
-        return self.ids[self.ends.select(i - 1) if i else 0 : self.ends.select(i)]
+        return next(self.documents(i, i + 1))[1]
+
+    def documents(self, first: int, stop: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(place of the first id, ids) of the documents first .. stop - 1."""
+        ends = self.ends.select(np.arange(max(0, first - 1), stop))
+        starts = ends[:-1] if first else np.concatenate([[0], ends[:-1]])
+        for a, b in zip(starts.tolist(), ends[-len(starts) :].tolist(), strict=True):
+            yield a, self.ids[a:b]
 
     @staticmethod
     def build(partition: int, number: int, doc_ids: list[int | None], parts: list[bytes], width: int) -> bytes:
         known = [x for x in doc_ids if x is not None]
         least = min(known, default=0)
-        ids = np.frombuffer(b"".join(parts), "<u4").astype(f"<u{width}")
-        ends = np.cumsum([len(x) // 4 for x in parts])
-        head = _HEAD.pack(MAGIC, partition, number, len(doc_ids), len(ids), len(doc_ids) - len(known), least, width)
+        """parts: the ids of each document, width bytes each."""
+        ends = np.cumsum([len(x) // width for x in parts])
+        head = _HEAD.pack(MAGIC, partition, number, len(doc_ids), int(ends[-1]), len(doc_ids) - len(known), least, width)
         names = np.array(known, np.int64).astype(np.uint64) - np.uint64(least & (1 << 64) - 1) if known else np.zeros(0)
-        return head + EliasFano.encode(names).to_bytes() + EliasFano.encode(ends).to_bytes() + ids.tobytes()
+        return head + EliasFano.encode(names).to_bytes() + EliasFano.encode(ends).to_bytes() + b"".join(parts)
 
 
 def _shards(path: str, end: int, shard_ids: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     enc, here, number = encoder(path), TaskContext.get().partitionId(), 0
-    width, stop = 2 if max(enc.vocabulary, end + 1) <= 65536 else 4, np.array([end], "<u4").tobytes()
+    kind = "<u2" if max(enc.vocabulary, end + 1) <= 65536 else "<u4"
+    stop = np.array([end], kind).tobytes()
     names: list[int | None] = []
     parts: list[bytes] = []
     size = 0
     for batch in batches:
-        for name, text in zip(column(batch, "doc_id").to_pylist(), texts(batch), strict=True):
+        for name, ids in zip(column(batch, "doc_id").to_pylist(), enc.raw(column(batch, "text")), strict=True):
             names.append(name)
-            parts.append(enc.raw(text) + stop)
-            size += len(parts[-1]) // 4
+            parts.append(ids.astype(kind).tobytes() + stop)
+            size += len(ids) + 1
             if size >= shard_ids:
-                yield pa.RecordBatch.from_pydict({"blob": pa.array([Shard.build(here, number, names, parts, width)], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"blob": pa.array([Shard.build(here, number, names, parts, int(kind[2]))], pa.binary())})
                 names, parts, size, number = [], [], 0, number + 1
     if names:
-        yield pa.RecordBatch.from_pydict({"blob": pa.array([Shard.build(here, number, names, parts, width)], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"blob": pa.array([Shard.build(here, number, names, parts, int(kind[2]))], pa.binary())})
 
 
 def write_token_files(docs: DataFrame, out: str, tokenizer: str, end_id: int = 2, shard_ids: int = SHARD_IDS) -> None:
@@ -140,39 +153,40 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str, end_id: int = 2
     blobs.select(F.col("blob").cast("string")).write.option("maxRecordsPerFile", 1).text(out)
 
 
-_DOCS = "partition long, number long, place long, doc_id long, local long, n_tokens long, ids_crc32 long"
+_DOC = "place long, doc_id long, local long, n_tokens long, ids_crc32 long"
+_DOCS = f"partition long, number long, doc struct<{_DOC.replace(' ', ':').replace(',:', ',')}>"
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents found by select, some thousand at a time."""
     for batch in batches:
         for data in column(batch, "content"):
             shard = Shard(data.as_py())
-            ends = shard.ends.values()
-            starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-            crc = [zlib.crc32(shard.ids[a:b].astype("<u4").tobytes()) for a, b in zip(starts, ends, strict=True)]
-            known = (shard.names.values().astype(np.uint64) + np.uint64(shard.least & (1 << 64) - 1)).astype(np.int64)
-            n = shard.n_docs
-            yield pa.RecordBatch.from_pydict({
-                "partition": np.full(n, shard.partition), "number": np.full(n, shard.number), "place": np.arange(n),
-                "doc_id": pa.array([None] * shard.n_null + known.tolist(), pa.int64()), "local": starts, "n_tokens": ends - starts, "ids_crc32": pa.array(crc, pa.int64()),
-            })
-
-
-def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        heads = [_HEAD.unpack_from(x.as_buffer()) for x in column(batch, "content")]
-        yield pa.RecordBatch.from_pydict({"partition": pa.array([h[1] for h in heads], pa.int64()), "number": pa.array([h[2] for h in heads], pa.int64()), "n": pa.array([h[4] for h in heads], pa.int64())})
+            for at in range(0, shard.n_docs, 4096):
+                stop = min(at + 4096, shard.n_docs)
+                found = [(a, len(x), zlib.crc32(x.astype("<u4").tobytes())) for a, x in shard.documents(at, stop)]
+                names = shard.names.select(np.arange(max(at, shard.n_null), stop) - shard.n_null).astype(np.uint64) + np.uint64(shard.least & (1 << 64) - 1)
+                names = [None] * (stop - at - len(names)) + names.astype(np.int64).tolist()
+                kinds = [x.split()[0] for x in _DOC.split(", ")]
+                doc = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in (range(at, stop), names, *zip(*found, strict=True))], kinds)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(stop - at, shard.partition)), pa.array(np.full(stop - at, shard.number)), doc], ["partition", "number", "doc"])
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document in the shards; start counts all ids before it over all shards."""
-    small_batches(spark, 4)
+    small_batches(spark)
     files = spark.read.schema("path string, modificationTime timestamp, length long, content binary").format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    totals = files.mapInArrow(_totals, "partition long, number long, n long")
-    # one row a file, of at least SHARD_IDS ids but for the last of each partition
-    before = totals.select("partition", "number", F.coalesce(F.sum("n").over(Window.orderBy("partition", "number").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    rows = files.mapInArrow(_documents, _DOCS).join(before, ["partition", "number"])
-    return rows.select("doc_id", (F.col("before") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
+    # one exchange serves the totals and the documents, so each file is read once
+    rows = files.mapInArrow(_documents, _DOCS).repartition("partition", "number")
+    totals = rows.groupBy("partition", "number").agg(F.sum("doc.n_tokens").alias("n"))
+
+    def earlier(*keys: str, by: list[str]) -> Column:
+        return F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    # files inside their write task, then one row for each write task
+    tasks = totals.groupBy("partition").agg(F.sum("n").alias("n")).select("partition", earlier("partition", by=[]).alias("whole"))
+    before = totals.select("partition", "number", earlier("number", by=["partition"]).alias("own")).join(tasks, "partition").select("partition", "number", (F.col("whole") + F.col("own")).alias("before"))
+    return rows.join(before, ["partition", "number"]).select("doc.doc_id", (F.col("before") + F.col("doc.local")).alias("start"), "doc.n_tokens", "doc.ids_crc32")
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

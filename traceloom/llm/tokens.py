@@ -1,22 +1,42 @@
-"""Exact token ids of whole texts, from caches of the words between safe cuts."""
+"""Exact token ids of whole texts: each pre-token of a group of texts is looked up once, in a cache bounded by bytes."""
 from __future__ import annotations
 
 import json
 import re
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Words and pre-tokens kept by one Python worker.
-CACHED_WORDS, CACHED_PARTS = 600_000, 900_000
+#: Bytes of text whose pre-tokens are told apart together; bytes of one of the two generations of pre-tokens that a Python
+#: worker keeps, and of an entry beside its key and its value.
+GROUP, KEPT_BYTES, ENTRY = 1 << 22, 32 << 20, 200
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
-#: Pieces of which Python's character classes and the tokenizers' agree, and which hold no special token.
-_PLAIN = re.compile(rf"(?!.*<\|)[ \n!-~{_LETTER}]*\Z", re.S)
-_SHORT = "'s|'t|'re|'ve|'m|'ll|'d|"
-_BYTE_PARTS = re.compile(rf"{_SHORT} ?[{_LETTER}]+| ?[0-9]+| ?[^\s{_LETTER}0-9]+|\s+(?!\S)|\s+")
-_WORD_PARTS = re.compile(rf"{_SHORT}[{_LETTER}]+|[0-9]|[^\s{_LETTER}0-9]+")
+#: Texts of which Python's character classes and the tokenizers' agree, and the start of every special token.
+_PLAIN, _SPECIAL = rf"\A[ \n!-~{_LETTER}]*\z", "<|"
+#: Texts whose white space is not one space, or one line feed, between two words.
+_WIDE = r"\A[ \n]|[ \n]\z|  | \n|\n |\A\z"
+#: A space that no pre-token of any of the known kinds reaches over from its left, and that no normaliser changes.
+_CUT = re.compile(r"(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
+#: Ends a word among joined ones; no plain text has it.
+_MARK = "\x01"
+_SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
+_BYTE_PARTS = re.compile(rf" ?[{_LETTER}]+|{_MARK}| ?[0-9]+|{_SHORT}| ?[^\s{_MARK}{_LETTER}0-9]+|\s+(?!\S)|\s+")
+_WORD_PARTS = re.compile(rf"[{_LETTER}]+|{_MARK}|[0-9]|{_SHORT}|[^\s{_MARK}{_LETTER}0-9]+")
+
+
+def _strings(array_: pa.Array) -> list[str]:
+    return array_.to_numpy(zero_copy_only=False).tolist()
+
+
+def _laid_out(ids: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ids (of these sizes, one after another) in the order of which, and the end of each."""
+    first, size = np.cumsum(sizes) - sizes, sizes[which]
+    ends = np.cumsum(size)
+    return ids[np.repeat(first[which] - ends + size, size) + np.arange(size.sum())], ends
 
 
 def _byte_letters() -> list[str]:
@@ -26,30 +46,40 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
 
 
-class _Unsafe(Exception):
-    pass
+class Known(dict):
+    """Finds what it lacks, and forgets by bytes: a full generation becomes the old one, and what is used again comes back from there."""
 
-
-class _Known(dict):
-    """Looks up what it lacks."""
-
-    def __init__(self, find: Callable[[str], bytes]):
+    def __init__(self, find: Callable[[str], bytes], most: int = KEPT_BYTES):
         super().__init__()
-        self.find = find
+        self.find, self.most, self.room, self.old = find, most, most, {}
 
     def __missing__(self, key: str) -> bytes:
-        out = self.find(key)
-        if len(key) <= 64:
-            self[key] = out
+        out = self.old.get(key)
+        if out is None:
+            out = self.find(key) if key != _MARK else b""
+        self[key] = out
+        self.room -= ENTRY + len(key) + len(out)
+        if self.room < 0:
+            self.old = dict(self)
+            self.clear()
+            self.room = self.most
         return out
 
 
+def _pieces(text: str) -> Iterator[str]:
+    """A text of more than GROUP characters in pieces of about as many, parted before spaces where the ids are those of the whole."""
+    at = 0
+    while len(text) - at > GROUP and (cut := _CUT.search(text, at + GROUP)):
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:]
+
+
 class Encoder:
-    """raw(text) holds the ids of tokenizer.encode(text, add_special_tokens=False) for every text.
+    """raw(texts) gives the ids of tokenizer.encode(text, add_special_tokens=False) of every text.
 
-    A space between two words is a safe cut: words-only vocabularies drop it, byte-level ones attach it to the word that
-    follows. Words are looked up; unknown ones are parted as the file's pre-tokeniser does and go to the file's model.
-    Where white space is doubled or unusual, or the file is of another kind, the library encodes the whole text.
+    Texts are parted as the file's pre-tokeniser does; each different part of a group of texts is looked up once, and unknown
+    ones go to the file's model. Where characters are unusual, or the file is of another kind, the library encodes the text.
     """
 
     def __init__(self, path: str):
@@ -58,7 +88,7 @@ class Encoder:
         kinds = json.load(open(path, encoding="utf-8"))
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.vocabulary = self.tokenizer.model, self.tokenizer.get_vocab_size()
-        self.words, self.parts = _Known(self._word), _Known(self._part)
+        self.parts = Known(self._part)
         pre, norm = kinds.get("pre_tokenizer") or {}, json.dumps(kinds.get("normalizer"))
         split = (pre.get("pretokenizers") or [{}])[0]
         self.kind = "whole"
@@ -68,51 +98,69 @@ class Encoder:
             self.kind = "word"
         self.letters = dict(enumerate(_byte_letters()))
 
-    def ids(self, text: str) -> np.ndarray:
-        return np.frombuffer(self.raw(text), "<u4")
-
-    def _library(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def _library(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
     def _part(self, part: str) -> bytes:
-        # the bytes as characters of the same numbers, then as the vocabulary writes them
-        return array("I", [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))]).tobytes()
-
-    def _word(self, word: str) -> bytes:
-        """word has no space; in byte-level kinds a space went before it, unless it starts with a line feed."""
-        if word.isascii() and word.isalpha():  # one part
-            return self._part(word.lower() if self.kind == "word" else " " + word)
-        if self.kind == "word":
-            return b"".join(map(self.parts.__getitem__, _WORD_PARTS.findall(word.lower()))) if _PLAIN.match(word) else self._library(word)
-        bare = word[1:] if word[:1] == "\n" else word
-        if not bare or bare[0].isspace() or bare[-1].isspace():
-            raise _Unsafe
-        full = word if bare is not word else " " + word
-        return b"".join(map(self.parts.__getitem__, _BYTE_PARTS.findall(full))) if _PLAIN.match(full) else self._library(full)
-
-    def raw(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        if self.kind == "whole" or not text:
-            return self._library(text)
-        head = b""
-        if self.kind == "word":
-            words = text.replace("\n", " ").split(" ")
+        # as the vocabulary writes bytes; printable ASCII stands for itself
+        shown = part.replace(" ", self.letters[32]) if part.isascii() and "\n" not in part else part.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
+    def _looked_up(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the parts of a text, and how many there are before each mark."""
+        coded = pa.array(_WORD_PARTS.findall(text.lower()) if self.kind == "word" else _BYTE_PARTS.findall(text), pa.large_string()).dictionary_encode()
+        which, different = coded.indices.to_numpy(), _strings(coded.dictionary)
+        found = [*map(self.parts.__getitem__, different)]
+        ids, ends = _laid_out(np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) >> 2, which)
+        return ids, ends[which == different.index(_MARK)] if _MARK in different else ends[:0]
+
+    def _group(self, texts: pa.Array) -> list[np.ndarray]:
+        """Words between spaces are told apart first, then the parts of different words, then ids are laid out in the texts' order."""
+        out: list = [None] * len(texts)
+        plain, wide = (pc.match_substring_regex(texts, x).to_numpy(zero_copy_only=False) for x in (_PLAIN, _WIDE))
+        plain &= ~pc.match_substring(texts, _SPECIAL).to_numpy(zero_copy_only=False)
+        wide &= self.kind == "byte"
+        for i in np.flatnonzero(~plain | wide).tolist():
+            out[i] = self._looked_up(texts[i].as_py())[0] if plain[i] else self._library(texts[i].as_py())
+        same = np.flatnonzero(plain & ~wide)
+        if not len(same):
+            return out
+        split = pc.split_pattern(texts.take(pa.array(same)), " ")
+        values = split.flatten()
+        coded = values.dictionary_encode()
+        stops, which, words = split.offsets.to_numpy() - split.offsets[0].as_py(), coded.indices.to_numpy(), _strings(coded.dictionary)
+        if self.kind == "byte":  # a text's first word has no space before it
+            firsts = _strings(values.take(pa.array(stops[:-1])))
+            joined = " " + f"{_MARK} ".join(words) + _MARK + _MARK.join(firsts) + _MARK
+            which = which.copy()
+            which[stops[:-1]] = len(words) + np.arange(len(firsts))
         else:
-            words = text.replace("\n", " \n").split(" ")
-            first = words[0]
-            if not first or first[0].isspace() or first[-1].isspace():
-                return self._library(text)
-            del words[0]
-            head = b"".join(map(self.parts.__getitem__, _BYTE_PARTS.findall(first))) if _PLAIN.match(first) else self._library(first)
-        words_known, parts_known = self.words, self.parts
-        if len(words_known) > CACHED_WORDS:
-            words_known.clear()
-        if len(parts_known) > CACHED_PARTS:
-            parts_known.clear()
-        try:
-            return head + b"".join([words_known[x] for x in words])
-        except _Unsafe:
-            return self._library(text)
+            joined = _MARK.join(words) + _MARK
+        ids, ends = self._looked_up(joined)
+        ids, ends = _laid_out(ids, np.diff(ends, prepend=0), which)
+        cuts = np.concatenate([[0], ends])[stops]
+        for i, a, b in zip(same.tolist(), cuts[:-1], cuts[1:], strict=True):
+            out[i] = ids[a:b]
+        return out
+
+    def ids(self, text: str) -> np.ndarray:
+        return next(self.raw(pa.array([text])))
+
+    def raw(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text of a column, as little-endian unsigned 32-bit integers; a null is an empty text."""
+        texts = texts.fill_null("").cast(pa.large_string())
+        if self.kind == "whole":
+            yield from (self._library(x) for x in texts.to_pylist())
+            return
+        total, at = np.cumsum(pc.binary_length(texts).to_numpy()), 0
+        while at < len(texts):
+            before = total[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(total, before + GROUP, "right")))
+            if total[at] - before > GROUP:
+                yield np.concatenate([self._group(pa.array([x], pa.large_string()))[0] for x in _pieces(texts[at].as_py())])
+            else:
+                yield from self._group(texts.slice(at, stop - at))
+            at = stop
 
 
 @lru_cache(maxsize=2)
