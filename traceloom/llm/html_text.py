@@ -16,6 +16,9 @@ from .common import column, durable, small_batches, texts
 
 #: A class of tokens counts if so many tokens share its vector, on so many pages and so large a share of the host's pages.
 CLASS_TOKENS, CLASS_PAGES, CLASS_SHARE = 3, 3, 0.5
+#: A slot is not the article if links or text that the host repeats make up more than this share of it. The slot with the most
+#: text is the article unless another one has this share of that, which is a tie.
+REPEATED, TIED = 0.5, 0.5
 #: Roles that one task holds before it sends what it has counted; bytes of templates up to which they are broadcast.
 HELD, BROADCAST_BYTES = 100_000, 8 << 20
 
@@ -48,20 +51,25 @@ _IMPLIED = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd":
 
 
 class Open(NamedTuple):
-    """An open element: its tag, its role (path of tags with their classes), the path of its container, and where it is."""
+    """An open element: its tag, its role (path of tags with their classes), the path of its container, and where it is.
+
+    dropped is the path of the innermost element around it that is never part of an article, as far as tags and names tell.
+    """
 
     tag: str
     path: str
     container: str
-    dropped: bool
+    dropped: str
     main: bool
+    children: dict[str, int]
 
 
 class Block(NamedTuple):
     text: str
     container: str
-    dropped: bool
+    dropped: str
     main: bool
+    linked: int
 
 
 @lru_cache(maxsize=20_000)
@@ -80,30 +88,37 @@ def _read_attrs(tag: str, raw: str) -> tuple[str, bool]:
 def parse(html: str) -> tuple[dict[str, int], list[Block], list[str]]:
     """(occurrences of each token, blocks of text in page order, tokens by first occurrence) of one page.
 
-    A token is a start or end tag in its role, which holds the path to it. References are decoded, white space in a block
-    becomes one space; empty blocks are left out.
+    A token is a start or end tag in its role, which holds the path to it; containers of one kind in one parent are told apart
+    by their order. References are decoded, white space in a block becomes one space; empty blocks are left out.
     """
     counts: dict[str, int] = {}
     blocks: list[Block] = []
-    stack = [Open("", "", "", False, False)]
+    stack = [Open("", "", "", "", False, {})]
     buffer: list[str] = []
+    linked, link = 0, 0  # characters inside links since the last block, and the depth of the element that holds an open link
 
     def flush() -> None:
+        nonlocal linked
         if buffer:
             text = " ".join(unescape("".join(buffer)).split())
             buffer.clear()
             if text:
                 top = stack[-1]
-                blocks.append(Block(text, top.container, top.dropped, top.main))
+                blocks.append(Block(text, top.container, top.dropped, top.main, min(linked, len(text))))
+        linked = 0
 
     def close(to: int) -> None:
+        nonlocal link
         flush()
         del stack[to:]
+        if len(stack) < link:
+            link = 0
 
     at = 0
     while (m := _TAG.search(html, at)) is not None:
         if m.start() > at:
             buffer.append(html[at : m.start()])
+            linked += m.start() - at if link else 0
         at = m.end()
         name = m["name"]
         if name is None:
@@ -115,6 +130,8 @@ def parse(html: str) -> tuple[dict[str, int], list[Block], list[str]]:
             buffer.append(" ")
             continue
         if tag not in _BLOCK and tag not in _DROPPED:
+            if tag == "a":
+                link = 0 if m["end"] else len(stack)
             if m["end"] == "":
                 token = f"{stack[-1].path}<{tag}"
                 counts[token] = counts.get(token, 0) + 1
@@ -150,15 +167,19 @@ def parse(html: str) -> tuple[dict[str, int], list[Block], list[str]]:
         up = stack[-1]
         mark, beside = _read_attrs(tag, m["attrs"]) if m["attrs"].strip(" /") else ("", False)
         main = up.main or tag in ("article", "main") or mark.endswith("[main]")
-        dropped = up.dropped or tag in _DROPPED or (tag == "header" and not up.main) or (beside and tag not in ("html", "body", "main"))
         path = f"{up.path}/{tag}{mark}"
+        if tag not in _LEAF:
+            nth = up.children[path] = up.children.get(path, 0) + 1
+            path += f"[{nth}]" if nth > 1 else ""
+        beside = tag in _DROPPED or (tag == "header" and not up.main) or (beside and tag not in ("html", "body", "main"))
+        dropped = path if beside else up.dropped
         counts[path] = counts.get(path, 0) + 1
         if tag in _INSIDE:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>|\Z", re.I).search(html, at)
             at = end.end()
             continue
         if tag not in _VOID:
-            stack.append(Open(tag, path, up.container if tag in _LEAF else path, dropped, main))
+            stack.append(Open(tag, path, up.container if tag in _LEAF else path, dropped, main, {}))
     buffer.append(html[at:])
     flush()
     return counts, blocks, list(counts)
@@ -168,17 +189,21 @@ def _text_token(block: Block) -> str:
     return f"{block.container}#{xxh64_intdigest(block.text.encode(), 3):x}"
 
 
-_COUNTED = "host string, token string, pages long, total long, one long, two long, place double, chars long"
+_STATS = ("chars", "linked", "beside", "marked")
+_COUNTED = "host string, token string, pages long, total long, one long, two long, place double, " + ", ".join(f"{x} long" for x in _STATS)
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per host and token: pages, occurrences, two sums that tell occurrence vectors apart, places, and text inside."""
+    """Per host and token: pages, occurrences, two sums that tell occurrence vectors apart, places, and characters of text.
+
+    Text counts for its container and for itself: all, in links, in elements beside the article, and in marked articles.
+    """
     held: dict[tuple[str, str], list] = {}
 
     def send() -> pa.RecordBatch:
         rows = [(*k, *v) for k, v in held.items()]
         held.clear()
-        kinds = (pa.string(), pa.string(), *[pa.int64()] * 4, pa.float64(), pa.int64())
+        kinds = (pa.string(), pa.string(), *[pa.int64()] * 4, pa.float64(), *[pa.int64()] * len(_STATS))
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], [x.split()[0] for x in _COUNTED.split(", ")])
 
     for batch in batches:
@@ -186,15 +211,16 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not host:
                 continue
             counts, blocks, order = parse(html)
-            chars: dict[str, int] = {}
+            stats: dict[str, tuple[int, ...]] = {}
             for b in blocks:
-                if not b.dropped:
-                    chars[b.container] = chars.get(b.container, 0) + len(b.text)
-                if not b.main:
-                    token = _text_token(b)
-                    counts[token] = counts.get(token, 0) + 1
-                    if counts[token] == 1:
-                        order.append(token)
+                n = len(b.text)
+                own = (n, b.linked, n if b.dropped else 0, n if b.main else 0)
+                token = _text_token(b)
+                for key in (b.container, token):
+                    stats[key] = tuple(map(sum, zip(stats[key], own, strict=True))) if key in stats else own
+                counts[token] = counts.get(token, 0) + 1
+                if counts[token] == 1:
+                    order.append(token)
             page = xxh64_intdigest(html.encode("utf-8", "surrogatepass"), (name or 0) & (1 << 63) - 1)
             counts[""] = 1
             place = {t: i / len(order) for i, t in enumerate(order)}
@@ -202,13 +228,14 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 h = xxh64_intdigest(n.to_bytes(8, "little"), page)
                 row = held.get((host, token))
                 if row is None:
-                    row = held[(host, token)] = [0, 0, 0, 0, 0.0, 0]
+                    row = held[(host, token)] = [0, 0, 0, 0, 0.0, *[0] * len(_STATS)]
                 row[0] += 1
                 row[1] += n
                 row[2] += h & 0xFFFFFFFF
                 row[3] += h >> 32
                 row[4] += place.get(token, 0.0)
-                row[5] += chars.get(token, 0)
+                for i, x in enumerate(stats.get(token, ())):
+                    row[5 + i] += x
             if len(held) > HELD:
                 yield send()
     if held:
@@ -220,32 +247,84 @@ def templates(pages: DataFrame) -> DataFrame:
 
     Tokens whose occurrence vectors over the host's pages are equal (equal page counts, sums and hashes of the vectors) form a
     class. Classes of enough tokens, on enough pages, are valid; nested by the paths of their tokens they are the template.
-    tokens lists (token, class, depth) of valid classes in page order; it is bounded by the tokens of two pages of the host,
-    as each stands on half of its pages. main is the container that holds the most text outside dropped elements, by the sum
-    over all pages.
+    tokens lists (token, class, chars, linked, beside, marked, repeated) of valid classes in page order; it is bounded by the
+    tokens of two pages of the host, as each stands on half of its pages. repeated are the characters in a container's texts
+    that themselves belong to the template. main is the slot that article_slots puts first.
     """
     counted = pages.mapInArrow(_occurrences, _COUNTED)
-    sums = counted.groupBy("host", "token").agg(*(F.sum(c).alias(c) for c in ("pages", "total", "one", "two", "place", "chars")))
-    sums = durable(sums)
-    size = sums.where("token = ''").select("host", F.col("pages").alias("host_pages"))
-    main = sums.where("chars > 0").groupBy("host").agg(F.max(F.struct("chars", "token")).alias("m")).select("host", F.col("m.token").alias("main"))
-    frequent = sums.where("token <> ''").join(size, "host").where((F.col("pages") >= CLASS_PAGES) & (F.col("pages") >= CLASS_SHARE * F.col("host_pages")))
+    sums = counted.groupBy("host", "token").agg(*(F.sum(c).alias(c) for c in ("pages", "total", "one", "two", "place", *_STATS)))
+    # the many texts of one page only end here: what a host's pages share is little
+    shared = durable(sums.where((F.col("pages") >= CLASS_PAGES) | (F.col("token") == "")))
+    size = shared.where("token = ''").select("host", F.col("pages").alias("host_pages"))
+    frequent = shared.where("token <> ''").join(size, "host").where(F.col("pages") >= CLASS_SHARE * F.col("host_pages"))
     vector = ["host", "pages", "total", "one", "two"]
-    classes = frequent.groupBy(*vector).agg(F.count("*").alias("tokens"), F.collect_list(F.struct((F.col("place") / F.col("pages")).alias("place"), "token")).alias("members"))
-    valid = classes.where(F.col("tokens") >= CLASS_TOKENS).select("host", F.xxhash64("pages", "total", "one", "two").alias("class"), F.explode("members").alias("m"))
-    listed = valid.groupBy("host").agg(F.array_sort(F.collect_list(F.struct(F.col("m.place").alias("place"), F.col("m.token").alias("token"), F.col("class").alias("class")))).alias("tokens"))
-    return size.select("host").join(listed, "host", "left").join(main, "host", "left").select("host", F.coalesce(F.transform("tokens", lambda x: F.struct(x["token"].alias("token"), x["class"].alias("class"))), F.array().cast("array<struct<token:string,class:bigint>>")).alias("tokens"), "main")
+    member = F.struct((F.col("place") / F.col("pages")).alias("place"), "token", *_STATS)
+    classes = frequent.groupBy(*vector).agg(F.count("*").alias("n"), F.collect_list(member).alias("members")).where(F.col("n") >= CLASS_TOKENS)
+    of = F.struct("m.place", "m.token", F.xxhash64(*vector[1:]).alias("class"), *(f"m.{x}" for x in _STATS))
+    listed = classes.withColumn("m", F.explode("members")).groupBy("host").agg(F.array_sort(F.collect_list(of)).alias("tokens"))
+    repeated = frequent.where("instr(token, '#') > 0").groupBy("host", F.substring_index("token", "#", 1).alias("slot")).agg(F.sum("chars").alias("n"))
+    texts_ = repeated.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("slot", "n"))).alias("repeated"))
+    return size.select("host").join(listed, "host", "left").join(texts_, "host", "left").mapInArrow(_with_main, _TEMPLATE)
+
+
+_TOKEN = ("token", "class", *_STATS, "repeated")
+_TEMPLATE = f"host string, tokens array<struct<token:string,{','.join(f'{x}:bigint' for x in _TOKEN[1:])}>>, main string"
+
+
+def _with_main(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.struct([("token", pa.string()), *((x, pa.int64()) for x in _TOKEN[1:])]))
+    for batch in batches:
+        tokens = []
+        for own, repeated in zip(column(batch, "tokens").to_pylist(), column(batch, "repeated").to_pylist(), strict=True):
+            more = dict(repeated or [])
+            tokens.append([{k: t[k] for k in _TOKEN[:-1]} | {"repeated": more.get(t["token"], 0)} for t in own or []])
+        first = [next(iter(article_slots(own)), None) for own in tokens]
+        yield pa.RecordBatch.from_arrays([column(batch, "host"), pa.array(tokens, kind), pa.array(first, pa.string())], ["host", "tokens", "main"])
+
+
+def _fits(token: dict) -> bool:
+    return token["chars"] > 0 and "#" not in token["token"] and token["linked"] <= REPEATED * token["chars"] and token["repeated"] <= REPEATED * token["chars"]
+
+
+def article_slots(template: list[dict]) -> list[str]:
+    """The template's slots that may hold the article, the likeliest first: text of their own, not links or repeated text.
+
+    More text over the host's pages goes first. Tags and names only settle a tie for the first place.
+    """
+    fit = sorted((t for t in template if _fits(t)), key=lambda t: (t["linked"] - t["chars"], t["token"]))
+    tied = [t for t in fit if t["chars"] - t["linked"] >= TIED * (fit[0]["chars"] - fit[0]["linked"])]
+    if len(tied) > 1:
+        best = min(tied, key=lambda t: (2 * t["beside"] > t["chars"], 2 * t["marked"] <= t["chars"], fit.index(t)))
+        fit.remove(best)
+        fit.insert(0, best)
+    return [t["token"] for t in fit]
+
+
+def _under(path: str, top: str) -> bool:
+    return path == top or path.startswith(top + "/")
+
+
+def _parent(path: str) -> str:
+    return path.rpartition("/")[0]
+
+
+def region(main: str, template: list[dict]) -> str:
+    """The element around the main slot whose other slots may all hold text of the article; body and marked articles end it."""
+    top = main
+    while (up := _parent(top)).count("/") > 2 and not re.match(r"(?:article|main)\b", top.rpartition("/")[2]):
+        if not all(_fits(t) for t in template if t["chars"] and "#" not in t["token"] and _under(t["token"], up)):
+            break
+        top = up
+    return top
 
 
 def slots(blocks: list[Block], template: dict[str, int]) -> dict[str, list[int]]:
-    """Blocks by slot: the deepest token of the template on the path of a block's container; text of the template has none."""
+    """Blocks by slot: the deepest token of the template on the path of a block's container."""
     out: dict[str, list[int]] = {}
     for i, b in enumerate(blocks):
-        if not b.main and template.get(_text_token(b)) is not None:
-            continue
         path = b.container
         while path and path not in template:
-            path = path.rpartition("/")[0]
+            path = _parent(path)
         out.setdefault(path, []).append(i)
     return out
 
@@ -264,48 +343,62 @@ def _ordered(template: list[tuple[str, int]], order: list[str]) -> dict[str, int
     return {t: k for t, k in template if k not in bad or "#" in t}
 
 
-def main_text(html: str, template: list[tuple[str, int]] = (), main: str | None = None) -> str:
-    """Blocks of the page's article, joined by two line feeds.
+def chosen(html: str, template: list[dict] = ()) -> tuple[list[str], bool]:
+    """(blocks of the page's article, whether the template chose them).
 
-    Blocks are grouped by the template's slots. Where slots lie in an element marked as article or main, those are the
-    article. Else it is the host's container with the most text (or this page's, if it lacks that one) and all slots below it.
-    Menus, headers, forms and the like are dropped by their elements, roles and names; text that is part of the template is
-    dropped outside marked articles.
+    Blocks are grouped by the template's slots. The first of article_slots that this page has is the article, with its region; inside of it only what tags and names tell to be beside an article is left out, and nothing else. A host
+    without a template, or a page without its slots, is decided by marked articles, or else by the page's own container with
+    the most text, outside elements beside the article.
     """
     _, blocks, order = parse(html)
-    found = slots(blocks, _ordered(list(template), order))
-    live = sorted(i for own in found.values() for i in own if not blocks[i].dropped)
-    kept = [i for i in live if blocks[i].main]
+    here = set(order)
+    known = _ordered([(t["token"], t["class"]) for t in template], order) if template else {}
+    main = next((x for x in article_slots(template) if x in here and x in known), None)
+    if main is not None:
+        top = region(main, template)
+        fit = {t["token"] for t in template if _fits(t)}
+        found = slots(blocks, known)
+        inside = {i for slot, own in found.items() if _under(slot, top) for i in own}
+        # a title or a lead that stands in an element around the region, but not in the body
+        inside |= {i for slot, own in found.items() if slot in fit and slot.count("/") > 2 and _under(top, slot) for i in own if blocks[i].container == slot}
+        kept = [b for i, b in enumerate(blocks) if i in inside and not (b.dropped.startswith(top + "/") or (b.dropped and not _under(b.container, top)))]
+        return [b.text for b in kept], True
+    live = [b for b in blocks if not b.dropped]
+    kept = [b for b in live if b.main]
     if not kept and live:
-        under = lambda c, top: c == top or c.startswith(top + "/")
-        kept = [i for i in live if main and under(blocks[i].container, main)]
-        if not kept:
-            chars: dict[str, int] = {}
-            for i in live:
-                chars[blocks[i].container] = chars.get(blocks[i].container, 0) + len(blocks[i].text)
-            top = max(chars, key=chars.get)
-            kept = [i for i in live if under(blocks[i].container, top)]
-    return "\n\n".join(blocks[i].text for i in kept)
+        chars: dict[str, int] = {}
+        for b in live:
+            chars[b.container] = chars.get(b.container, 0) + len(b.text)
+        top = max(chars, key=chars.get)
+        kept = [b for b in live if _under(b.container, top)]
+    return [b.text for b in kept], False
+
+
+def main_text(html: str, template: list[dict] = ()) -> str:
+    """Blocks of the page's article, joined by two line feeds."""
+    return "\n\n".join(chosen(html, template)[0])
 
 
-_TEXT = "page_id long, url string, text string, n_chars long"
+_TEXT = "page_id long, url string, text string, n_chars long, by_template boolean"
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[str, tuple[list[tuple[str, int]], str | None]] = {}
+    known: dict[str, list[dict]] = {}
     for batch in batches:
-        out = []
-        for host, html, tokens, main in zip(column(batch, "host").to_pylist(), texts(batch, "html"), column(batch, "tokens"), column(batch, "main").to_pylist(), strict=True):
+        out, by = [], []
+        for host, html, tokens in zip(column(batch, "host").to_pylist(), texts(batch, "html"), column(batch, "tokens"), strict=True):
             if host not in known:
                 if len(known) > 256:
                     known.clear()
-                known[host] = ([(x["token"], x["class"]) for x in tokens.as_py() or []], main)
-            out.append(main_text(html, *known[host]))
-        yield pa.RecordBatch.from_arrays([column(batch, "page_id"), column(batch, "url"), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], [x.split()[0] for x in _TEXT.split(", ")])
+                known[host] = tokens.as_py() or []
+            blocks, template = chosen(html, known[host])
+            out.append("\n\n".join(blocks))
+            by.append(template)
+        yield pa.RecordBatch.from_arrays([column(batch, "page_id"), column(batch, "url"), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64()), pa.array(by, pa.bool_())], [x.split()[0] for x in _TEXT.split(", ")])
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of every row of pages (page_id, url, html).
+    """page_id, url, text, n_chars, by_template (whether the host's template chose the text) of every row of pages (page_id, url, html).
 
     Templates come from all pages of a host; counts are summed in each task first, so a host with a third of all pages is no
     more work for one task. Templates join pages by host, broadcast if they are small. Null html is empty, an empty page has an
@@ -317,7 +410,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)", 1))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), F.col("html").alias("html"))
     found = durable(templates(rows.select("page_id", "host", "html")))
-    size = found.agg(F.sum(F.aggregate("tokens", F.lit(0), lambda a, x: a + F.length(x["token"]) + 24))).first()[0] or 0
+    size = found.agg(F.sum(F.aggregate("tokens", F.lit(0), lambda a, x: a + F.length(x["token"]) + 64))).first()[0] or 0
     by_host = F.broadcast(found) if size <= BROADCAST_BYTES else found.hint("merge")
     return rows.join(by_host, "host", "left").mapInArrow(_extracted, _TEXT)
 
