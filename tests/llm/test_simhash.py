@@ -135,6 +135,40 @@ def test_near_copies_that_share_a_passage(spark):
     _whole(spark, texts)
 
 
+@pytest.mark.parametrize("often", [1, 5])
+def test_frequent_shingles_are_spread(spark, monkeypatch, often):
+    """The way of shingles that many texts share gives the same groups, here with every shingle, or most, and blocks of few texts."""
+    monkeypatch.setattr(simhash, "SHARE", 1)
+    r = rng(31)
+    base, texts = words(r, 60).split(), []
+    for i in range(70):
+        w = list(base)
+        for _ in range(i % 7):
+            w[r.randrange(60)] = f"edit{r.randrange(10**6)}"
+        texts.append(" ".join(w))
+    texts += [words(r, 50) for _ in range(10)]
+    docs = documents(spark, [(i, t, "s") for i, t in enumerate(dict.fromkeys(texts))])
+    got, want = ({x.doc_id for x in simhash.near_groups(docs, often=n).where("chosen").collect()} for n in (often, 10**6))
+    assert got == want and len(got) < len(texts) - 20
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_rows_of_shared_shingles(seed):
+    import pyarrow as pa
+
+    own = np.random.default_rng(seed)
+    s = np.sort(own.integers(0, 40 + 60 * (seed % 3), 120)).astype(np.int32)
+    p, k, n = np.arange(120, dtype=np.int32), own.integers(0, 10**9, 120), np.full(120, 9, np.int32)
+    cuts = np.unique([0, 120, *own.integers(0, 121, seed * 8)])
+    batches = [pa.RecordBatch.from_arrays([pa.array(x[a:b]) for x in (s, p, k, n)], ["s", "p", "k", "n"]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    got = [(r["s"], r["p"], r["k"], r["hub"], r["hub_p"]) for b in simhash._grouped(iter(batches)) for r in b.to_pylist()]
+    first, size = {}, {}
+    for i, x in enumerate(s.tolist()):
+        first.setdefault(x, i)
+        size[x] = size.get(x, 0) + 1
+    assert got == [(x, int(p[i]), int(k[i]), int(k[first[x]]), int(p[first[x]])) for i, x in enumerate(s.tolist()) if size[x] > 1]
+
+
 def test_near_copies_of_short_texts(spark):
     r = rng(22)
     texts = ["", " \n", "one two", "One  two", "one two three four five"]

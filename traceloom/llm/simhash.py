@@ -1,12 +1,10 @@
 """SimHash near-duplicates: fingerprints sharded by a vantage-point tree over Hamming distance, linked within a few bits."""
-import heapq
 from collections.abc import Iterator
 from functools import partial
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -16,13 +14,11 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Fingerprints at home in one shard, about; sampled fingerprints that decide the tree, for each shard and at most.
 SHARD, LEAST_SHARDS, SAMPLED, MOST_SAMPLED = 8192, 16, 32, 1 << 17
 BLOCK = 32
-#: Words of a segment, at least and at most; one in SPREAD words starts one; segments kept of a text.
-SHORTEST, LONGEST, SPREAD, KEPT = 6, 40, 8, 8
-#: One in SHARE texts tells which shingles are frequent, LISTED of them at most; members of a block of a class of equal
-#: shingles; names of texts that are broadcast, at most; pairs of two classes that are decided before
-#: all others, which are decided if the classes are still apart.
-SHARE, LISTED, CLASS, NAMED, TRIED = 16, 1 << 19, 1024, 200_000, 3
+#: One in SHARE texts tells which shingles are frequent, LISTED of them at most; those that HOT of these texts have are dealt
+#: over blocks, each of the texts of as many of these; names of texts that are broadcast, at most.
+SHARE, LISTED, HOT, NAMED = 16, 1 << 19, 64, 200_000
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_NO_ID = -(1 << 63)
 
 
 def fingerprint(text: str, words: int = 3) -> int:
@@ -159,12 +155,11 @@ def _shard_links(radius: int, table: pa.Table) -> pa.Table:
     return pa.table({"a": fp[moved], "b": fp[label[moved]]})
 
 
-def hamming_components(points: DataFrame, radius: int = 3) -> DataFrame:
-    """(fp, root): of each distinct fp long, the class of fingerprints reachable by steps of at most `radius` bits.
+def hamming_links(points: DataFrame, radius: int = 3) -> DataFrame:
+    """Pairs (a, b) of fingerprints that join all distinct fp longs reachable by steps of at most `radius` bits.
 
     The tree is fitted on a bounded sample (MOST_SAMPLED) of distinct fingerprints; all of them are placed in it. Each shard
     holds its own fingerprints and those whose ball crosses its border, and returns a spanning forest of its links.
-    Fingerprints without a link are absent.
     """
     distinct = durable(points.select("fp").distinct())
     n = distinct.count()
@@ -180,8 +175,12 @@ def hamming_components(points: DataFrame, radius: int = 3) -> DataFrame:
     def shard_links(table: pa.Table) -> pa.Table:
         return _shard_links(radius, table)
 
-    links = routed.groupBy("shard").applyInArrow(shard_links, "a long, b long")
-    return connected(links).select(F.col("node").alias("fp"), "root")
+    return routed.groupBy("shard").applyInArrow(shard_links, "a long, b long")
+
+
+def hamming_components(points: DataFrame, radius: int = 3) -> DataFrame:
+    """(fp, root): of each distinct fp long, the class of fingerprints reachable by steps of at most `radius` bits; without a link none."""
+    return connected(hamming_links(points, radius)).select(F.col("node").alias("fp"), "root")
 
 
 def simhash_groups(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
@@ -196,7 +195,7 @@ def simhash_groups(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFram
     small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("k"), F.col("text").alias("text"))
     marked = durable(rows.mapInArrow(partial(_fingerprints, words), "doc_id long, k long, fp long"))
-    small_batches(spark, 10_000)
+    small_batches(spark)
     roots = durable(hamming_components(marked, radius))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")).alias("best")
     least = marked.groupBy("fp").agg(best).join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -206,31 +205,6 @@ def simhash_groups(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFram
     return marked.join(classes, "fp").select("doc_id", "fp", "component_id", "k", chosen.alias("chosen"))
 
 
-def segments(text: str) -> list[int]:
-    """Hashes of at most KEPT segments of a text, the least ones.
-
-    A segment begins at a word that one in SPREAD is like, or where none did for LONGEST words, and has SHORTEST words or more;
-    so texts that differ in a few words have most segments in common. A text without any is one segment.
-    """
-    parts = text.encode().translate(_LOWER).split()
-    out, begin = set(), 0
-    for i, mark in enumerate([*map(crc32, parts), 0]):
-        size = i - begin
-        if size >= SHORTEST and (mark % SPREAD == 0 or size >= LONGEST or i == len(parts)):
-            out.add(xxh64_intdigest(b" ".join(parts[begin:i]), 9))
-            begin = i
-    return heapq.nsmallest(KEPT, out) or [xxh64_intdigest(b" ".join(parts), 9)]
-
-
-def _marked(words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        own = texts(batch)
-        fp = np.array([fingerprint(x, words) for x in own], np.uint64).view(np.int64)
-        parts = [np.array(segments(x), np.uint64).view(np.int64) for x in own]
-        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
-        yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "k"), pa.array(fp), lists], ["doc_id", "k", "fp", "segs"])
-
-
 def jaccard(a: str, b: str, words: int = 5) -> float:
     """Share of common shingles of two texts, ASCII capitals lowered; a text of fewer words is one shingle."""
     sets = []
@@ -246,24 +220,6 @@ def _verified(least: float, words: int, batches: Iterator[pa.RecordBatch]) -> It
         yield pa.RecordBatch.from_arrays([column(batch, c).filter(pa.array(keep)) for c in ("a", "b")], ["a", "b"])
 
 
-def _candidates(marked: DataFrame) -> DataFrame:
-    """(a, b): text hashes that have equal segments, a quarter of their own or more.
-
-    A text is paired with four texts of each such class: the one whose segments most other texts have, as an original has
-    among its edited copies, and three by hashes, so that small classes meet whole; a class gives four times its size in pairs
-    at most. This joins most copies cheaply; _prefix_pairs finds all pairs that it leaves. A tree over
-    fingerprints of segments would send each to ever more shards as it grows, and nearly equal texts have equal segments.
-    """
-    placed = durable(marked.groupBy("k").agg(F.first("segs").alias("segs")).select("k", F.size("segs").alias("own"), F.explode("segs").alias("seg")))
-    sizes = placed.groupBy("seg").agg(F.count("*").alias("n")).where("n > 1")
-    shared = durable(placed.join(durable(sizes), "seg"))
-    support = durable(shared.groupBy("k").agg(F.sum(F.log2("n")).alias("support")))
-    chosen = shared.join(support, "k").groupBy("seg").agg(F.max_by("k", F.col("support")).alias("top"), F.min("k").alias("low"), F.max("k").alias("high"), F.max_by("k", F.xxhash64("k")).alias("any"))
-    pairs = shared.join(durable(chosen), "seg").select("k", "own", F.explode(F.array_distinct(F.array("top", "low", "high", "any"))).alias("b")).where("k <> b")
-    common = pairs.groupBy(F.col("k").alias("a"), "b").agg(F.count("*").alias("common"), F.max("own").alias("own"))
-    return common.where("common * 4 >= own").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
 def shingle_hashes(text: str, words: int) -> np.ndarray:
     """Hashes of the different shingles that jaccard compares."""
     parts = text.encode().translate(_LOWER).split()
@@ -301,100 +257,164 @@ def common_shingles(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray
     return s[order], n[order]
 
 
-def prefix(text: str, words: int, least: float, common: tuple[np.ndarray, np.ndarray]) -> tuple[int, np.ndarray]:
-    """The number of a text's shingles, and short hashes of its rarest ones: two texts as similar as `least` have one in common."""
+def prefix(text: str, words: int, least: float, common: tuple[np.ndarray, np.ndarray]) -> tuple[int, np.ndarray, np.ndarray]:
+    """The number of a text's shingles, short hashes of its rarest ones, and how many sampled texts have each of these.
+
+    Two texts as similar as `least` have one of them in common.
+    """
     h = shingle_hashes(text, words)
     s = _short(h)
     count = np.zeros(len(h), np.int64)
     if len(common[0]):
         at = np.minimum(np.searchsorted(common[0], s), len(common[0]) - 1)
         count = np.where(common[0][at] == s, common[1][at], 0)
-    return len(h), s[np.lexsort((h, count))[: len(h) - int(np.ceil(least * len(h) - 1e-9)) + 1]]
+    order = np.lexsort((h, count))[: len(h) - int(np.ceil(least * len(h) - 1e-9)) + 1]
+    return len(h), s[order], count[order]
 
 
-def _rarest(words: int, least: float, common, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    stops = pa.array(np.cumsum([0, *map(len, parts)]), pa.int32())
+    return pa.ListArray.from_arrays(stops, pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.int32()))
+
+
+_MARKED = "doc_id long, k long, fp long, n int, rare array<int>, hot array<int>, blocks array<int>"
+
+
+def _marked(words: int, least: float, often: int, common, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fingerprints and prefixes; hot are the places of frequent shingles in the prefix, blocks the blocks of their texts."""
+    for batch in batches:
+        whole = texts(batch)
+        fp = np.array([fingerprint(x) for x in whole], np.uint64).view(np.int64)
+        own = [prefix(x, words, least, common.value) for x in whole]
+        hot = [np.flatnonzero(count >= often) for _, _, count in own]
+        blocks = [-(-count[at] // often) for (_, _, count), at in zip(own, hot, strict=True)]
+        yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "k"), pa.array(fp), pa.array([n for n, *_ in own], pa.int32()), _lists([s for _, s, _ in own]), _lists(hot), _lists(blocks)], [x.split()[0] for x in _MARKED.split(", ")])
+
+
+_SHARED = "s int, p int, k long, n int, hub long, hub_p int, hub_n int, blocks int"
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (s, p, k, n) arrive sorted by s, p and k; those whose s another row has are passed on, with the first row of their s."""
+    names = ("s", "p", "k", "n")
+    held = [np.zeros(0, t) for t in (np.int32, np.int32, np.int64, np.int32)]  # the first row of the last s, if no other came yet
+    hub = None  # that row, once another has come
+
     for batch in batches:
-        own = [prefix(x, words, least, common.value) for x in texts(batch)]
-        stops = pa.array(np.cumsum([0, *(len(s) for _, s in own)]), pa.int32())
-        lists = pa.ListArray.from_arrays(stops, pa.array(np.concatenate([s for _, s in own]) if own else np.zeros(0, np.int32)))
-        yield pa.RecordBatch.from_arrays([column(batch, "k"), pa.array([n for n, _ in own], pa.int32()), lists], ["k", "n", "rare"])
+        own = [np.concatenate([h, column(batch, c).to_numpy()]) for h, c in zip(held, names, strict=True)]
+        if not len(own[0]):
+            continue
+        s, p, k, n = own
+        new = np.concatenate([[True], s[1:] != s[:-1]])
+        first = np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))
+        lone = new & np.concatenate([new[1:], [True]])
+        hubs = [x[first] for x in (k, p, n)]
+        if hub is not None:  # the group of the batch before goes on
+            run = int(np.argmax(np.append(s != hub[0], True)))
+            for x, y in zip(hubs, hub[1:], strict=True):
+                x[:run] = y
+            lone[:run] = False
+        tail = bool(lone[-1])
+        if tail:
+            held, lone = [x[-1:] for x in own], lone.copy()
+            hub = None
+        else:
+            held = [x[:0] for x in own]
+            hub = (s[-1], *(x[-1] for x in hubs))
+        keep = np.flatnonzero(~lone)
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (*own, *hubs)] + [pa.array(np.ones(len(keep), np.int32))], [x.split()[0] for x in _SHARED.split(", ")])
+
+
+def shared_shingles(marked: DataFrame) -> DataFrame:
+    """(s, p, k, n, hub, hub_p, hub_n, blocks): shingles of the texts' prefixes that other prefixes have too.
+
+    p is a shingle's place in the order from the rarest; the hub of a shingle is the text in which it stands first. An edit puts
+    new, rare shingles before the others, so that one is the original, or near it. Frequent shingles, as far as the sample
+    knows, go no common way to one task: their hubs are found by a partially aggregated min and are broadcast, LISTED rows
+    at most. All others meet by an exchange and pass by in order, one at a time.
+    """
+    texts_ = marked.select("k", "n", "rare", "hot", "blocks").dropDuplicates(["k"])
+    cold = texts_.select("k", "n", "hot", F.posexplode("rare").alias("p", "s")).where(~F.array_contains("hot", F.col("p"))).select("s", "p", "k", "n")
+    cold = cold.repartition("s").sortWithinPartitions("s", "p", "k").mapInArrow(_grouped, _SHARED)
+    hot = durable(texts_.where("size(hot) > 0").select("k", "n", "rare", F.explode(F.arrays_zip("hot", "blocks")).alias("h")).select(F.get("rare", F.col("h.hot")).alias("s"), F.col("h.hot").alias("p"), "k", "n", F.col("h.blocks").alias("blocks")))
+    hubs = hot.groupBy("s").agg(F.min(F.struct("p", "k", "n")).alias("hub")).select("s", F.col("hub.k").alias("hub"), F.col("hub.p").alias("hub_p"), F.col("hub.n").alias("hub_n"))
+    return durable(cold.unionByName(hot.join(F.broadcast(hubs), "s").select(*cold.columns)))
+
+
+def _may_share(least: float) -> Column:
+    """Whether a shingle at places pa and pb, the rarest first, may be the first one that two texts as similar as least share."""
+    need = F.ceil((F.col("na") + F.col("nb")) * (least / (1 + least)) - 1e-9)
+    return (F.col("pa") <= F.col("na") - need) & (F.col("pb") <= F.col("nb") - need) & (F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9)
 
 
-def _shared(placed: DataFrame) -> DataFrame:
-    """(s, k, root, n, blocks): texts by the shingles of their prefixes that texts of another root have in theirs."""
-    of = Window.partitionBy("s")
-    rows = placed.select(F.explode("rare").alias("s"), "k", "root", "n")
-    classes = rows.withColumns({"lo": F.min("root").over(of), "hi": F.max("root").over(of), "size": F.count("*").over(of)})
-    return durable(classes.where("lo <> hi").select("s", "k", "root", "n", F.ceil(F.col("size") / CLASS).cast("int").alias("blocks")))
+def _pairs(met: DataFrame, least: float) -> DataFrame:
+    return met.where((F.col("a") != F.col("b")) & _may_share(least)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _prefix_pairs(shared: DataFrame, least: float) -> DataFrame:
-    """(a, b, ra, rb, common) of text hashes of different roots that may share `least` of their shingles.
+def _star_pairs(shared: DataFrame, least: float) -> DataFrame:
+    """(a, b) of text hashes: each text with the hubs of its shingles. Most copies link to one of them."""
+    return _pairs(shared.select(F.col("k").alias("a"), F.col("p").alias("pa"), F.col("n").alias("na"), F.col("hub").alias("b"), F.col("hub_p").alias("pb"), F.col("hub_n").alias("nb")), least)
 
-    No pair of that similarity is missing. Texts meet on shingles of their prefixes, unless they are of one class already. A
-    pair goes if the shingles common to the prefixes, and all that follow the prefix that ends first, are too few together.
-    Members of a large class are dealt over blocks.
+
+def _prefix_pairs(shared: DataFrame, root: DataFrame, least: float) -> DataFrame:
+    """(a, b) of text hashes of different roots that may share `least` of their shingles; no pair of that similarity is missing.
+
+    The first shingle that two such texts share, the rarest first, stands in a part of both that depends on their numbers of
+    shingles; texts meet on the shingles of those parts. The class of a shingle's hub holds most texts that have it, and their
+    pairs among each other are not wanted, so only texts of other classes look for partners. The partners of a frequent
+    shingle are dealt over blocks, to each of which the others come.
     """
-    left = shared.select("s", F.col("k").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int").alias("block"))
-    right = shared.select("s", F.col("k").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    near = F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9
-    met = left.join(right, ["s", "block"]).where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & near)
-    found = met.groupBy("a", "b").agg(F.count("*").alias("common"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.first("ra").alias("ra"), F.first("rb").alias("rb"))
-    after = F.ceil(F.greatest("na", "nb") * least - 1e-9) - 1
-    return found.where(F.col("common") + after >= (F.col("na") + F.col("nb")) * (least / (1 + least)) - 1e-9).select("a", "b", "ra", "rb", "common")
+    of = lambda c: root.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    rows = shared.join(of("k"), "k", "left").join(of("hub"), "hub", "left").withColumns({"root": F.coalesce("k_root", "k"), "hub_root": F.coalesce("hub_root", "hub")})
+    rows = durable(rows.select("s", "p", "k", "n", "root", "hub_root", "blocks"))
+    left = rows.where("root <> hub_root").select("s", F.col("p").alias("pa"), F.col("k").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    right = rows.select("s", F.col("p").alias("pb"), F.col("k").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int").alias("block"))
+    return _pairs(left.join(right, ["s", "block"]).where("ra <> rb"), least)
 
 
 def _links(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, least: float, words: int) -> DataFrame:
     """The pairs of text hashes whose whole texts share `least` of their shingles or more."""
-    spark = rows.sparkSession
     wanted = pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).distinct()
-    named = durable(nodes.join(wanted, "k", "left_semi").select("k", F.coalesce("best.doc_id", F.lit(-(1 << 63))).alias("d")))
+    named = durable(nodes.join(wanted, "k", "left_semi").select("k", F.coalesce("best.doc_id", F.lit(_NO_ID)).alias("d")))
     if named.count() <= NAMED:
         named = F.broadcast(named)
-    few = rows.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), "k", "text").join(named, ["d", "k"], "left_semi").select("k", "text").dropDuplicates(["k"])
-    few = durable(few)
+    few = durable(rows.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("d"), "k", "text").join(named, ["d", "k"], "left_semi").select("k", "text").dropDuplicates(["k"]))
     both = pairs.join(few.select(F.col("k").alias("a"), F.col("text").alias("text_a")), "a").join(few.select(F.col("k").alias("b"), F.col("text").alias("text_b")), "b")
-    small_batches(spark)
-    links = durable(both.mapInArrow(partial(_verified, least, words), "a long, b long"))
-    small_batches(spark, 10_000)
-    return links
+    return both.mapInArrow(partial(_verified, least, words), "a long, b long")
 
 
-def near_groups(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int = 3) -> DataFrame:
+def near_groups(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int = 3, often: int = HOT) -> DataFrame:
     """doc_id, k, chosen of every row of docs: k is a hash of the text, chosen marks one document of each near-duplicate class.
 
     Two texts link if their fingerprints differ in `radius` bits or fewer, as in simhash_groups, or if the shingles of `words`
-    words that they share are `least` of all they have or more; no such pair is left unlinked, directly or by others. Equal
-    segments find most links at little cost; then the texts' rarest shingles find every pair that may be missing between the
-    classes so made. Each pair is decided on the whole texts. Equal texts are one node throughout.
+    words that they share are `least` of all they have or more; no such pair is left unlinked, directly or by others. The
+    texts' rarest shingles bring them together: first each with one text a shingle, then, between the classes so made, all
+    that may be as similar. Each pair is decided on the whole texts. Equal texts are one node throughout. often only says
+    which shingles are spread over tasks.
     Chosen is the document of the least doc_id, or of the least k where rows share it or have none; null and empty texts are
     alike and link; an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("k"), F.col("text").alias("text"))
-    marked = durable(rows.mapInArrow(partial(_marked, 3), "doc_id long, k long, fp long, segs array<long>"))
     common = spark.sparkContext.broadcast(common_shingles(rows, words))
-    small_batches(spark)
-    rare = durable(rows.select("k", "text").mapInArrow(partial(_rarest, words, least, common), "k long, n int, rare array<int>"))
-    small_batches(spark, 10_000)
-    whole = hamming_components(marked, radius)
-    nodes = durable(marked.groupBy("k").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")).alias("best"), F.first("fp").alias("fp")))
-    in_class = nodes.select("k", "fp").join(whole, "fp", "left").select("k", F.coalesce("root", "fp").alias("root"))
-    near = in_class.join(in_class.groupBy("root").agg(F.min("k").alias("m")), "root").select(F.col("k").alias("a"), F.col("m").alias("b")).where("a <> b")
-    links = _links(rows, nodes, durable(_candidates(marked)), least, words)
-    first = durable(connected(near.unionByName(links)).select(F.col("node").alias("k"), "root"))
-    placed = rare.dropDuplicates(["k"]).join(first, "k", "left").withColumn("root", F.coalesce("root", "k"))
-    met = durable(_prefix_pairs(_shared(placed), least))
-    best = F.row_number().over(Window.partitionBy(F.least("ra", "rb"), F.greatest("ra", "rb")).orderBy(F.desc("common"), "a", "b"))
-    tried = durable(met.withColumn("place", best).where(F.col("place") <= TRIED).select("a", "b"))
-    joined = first.select(F.col("k").alias("a"), F.col("root").alias("b")).unionByName(_links(rows, nodes, tried, least, words))
-    second = durable(connected(joined).select(F.col("node").alias("k"), F.col("root").alias("now")))
-    now = lambda side: second.select(F.col("k").alias(side), F.col("now").alias(f"now_{side}"))
-    apart = met.join(now("a"), "a", "left").join(now("b"), "b", "left").where(F.coalesce("now_a", "a") != F.coalesce("now_b", "b")).select("a", "b")
-    more = _links(rows, nodes, durable(apart.join(tried, ["a", "b"], "left_anti")), least, words)
-    roots = connected(joined.unionByName(more)).select(F.col("node").alias("k"), "root")
-    classed = durable(nodes.select("k", "best").join(roots, "k", "left").select("k", "best", F.coalesce("root", "k").alias("root")))
+    marked = durable(rows.mapInArrow(partial(_marked, words, least, often, common), _MARKED))
+    nodes = durable(marked.groupBy("k").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")).alias("best"), F.min("fp").alias("fp")))
+    # one text stands for all of its fingerprint
+    named = nodes.groupBy("fp").agg(F.min("k").alias("r"))
+    alike = nodes.select("k", "fp").join(named, "fp").select(F.col("k").alias("a"), F.col("r").alias("b")).where("a <> b")
+    of = lambda side: named.select(F.col("fp").alias(side), F.col("r").alias(f"r{side}"))
+    near = hamming_links(marked, radius).join(of("a"), "a").join(of("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    shared = shared_shingles(marked)
+    stars = durable(_star_pairs(shared, least))
+    first = durable(connected(alike.unionByName(near).unionByName(_links(rows, nodes, stars, least, words))))
+    apart = durable(_prefix_pairs(shared, first, least).join(stars, ["a", "b"], "left_anti"))
+    more = _links(rows, nodes, apart, least, words)
+    root = lambda side: first.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
+    more = more.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    second = connected(more).select(F.col("node").alias("root"), F.col("root").alias("now"))
+    classed = nodes.select("k", "best").join(first.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k")).join(second, "root", "left")
+    classed = durable(classed.select("k", "best", F.coalesce("now", "root").alias("root")))
     winners = classed.join(classed.groupBy("root").agg(F.min("best").alias("winner")), "root").select("k", "winner")
     chosen = F.col("doc_id").eqNullSafe(F.col("winner.doc_id")) & (F.col("k") == F.col("winner.k"))
     return marked.select("doc_id", "k").join(winners, "k").select("doc_id", "k", chosen.alias("chosen"))
@@ -402,9 +422,9 @@ def near_groups(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int
 
 def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int = 3) -> DataFrame:
     """The rows of docs that near_groups chooses, with the columns of docs; rows that repeat a doc_id and its text stay together."""
-    lost = near_groups(docs, words, least, radius).where("not chosen").select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_lost"), F.col("k").alias("_k")).distinct()
+    lost = near_groups(docs, words, least, radius).where("not chosen").select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("_lost"), F.col("k").alias("_k")).distinct()
     small_batches(docs.sparkSession)
-    return docs.join(lost, (F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))) == lost["_lost"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == lost["_k"]), "left_anti")
+    return docs.join(lost, (F.coalesce(docs["doc_id"].cast("long"), F.lit(_NO_ID)) == lost["_lost"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == lost["_k"]), "left_anti")
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
