@@ -36,6 +36,32 @@ def test_odd_rows(spark):
     check(spark, [r for r in ODD if r[0] != 7])
 
 
+def test_very_long_text(spark):
+    from tests.llm.helpers import ODD
+
+    r = rng(8)
+    check(spark, [x for x in ODD if x[0] == 7] + [(20, words(r, 30_000, 10**6), "s"), (21, words(r, 300), "s")])
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_groups_cover_what_repeats(seed):
+    """Over contexts with borders, the union of maximal repeats is every byte of a string that starts at two places."""
+    r, least = np.random.default_rng(100 + seed), 4
+    parts = [bytes(r.integers(97, 99 + seed % 3, r.integers(1, 40)).astype(np.uint8)) for _ in range(9)]
+    parts += parts[:2]
+    data, left, starts = repeats._joined(parts)
+    got = np.zeros(len(data), bool)
+    for at, n in zip(*repeats.SuffixArray(data, left, 64).covered(least), strict=True):
+        got[at : at + n] = True
+    seen = Counter(p[i : i + least] for p in parts for i in range(len(p) - least + 1))
+    want = np.zeros(len(data), bool)
+    for p, s in zip(parts, starts.tolist(), strict=True):
+        for i in range(len(p) - least + 1):
+            if seen[p[i : i + least]] > 1:
+                want[s + i : s + i + least] = True
+    assert (got == want).all()
+
+
 def test_shared_passages(spark):
     r = rng(3)
     passages = [words(r, n, 50) for n in (30, 45, 60, 200)]

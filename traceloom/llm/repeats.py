@@ -13,7 +13,7 @@ from .common import column, durable, small_batches, texts
 
 #: Bytes of a string that counts when it repeats, and of the anchor that is chosen in it.
 LEAST, ANCHOR = 200, 40
-#: Bytes scanned together; contexts of one suffix array; variants of one anchor above which they are told apart by hashes.
+#: Bytes scanned together; bytes of contexts of one suffix array; variants of one anchor that fit into one.
 SCAN, SUFFIXES, VARIANTS = 1 << 20, 1 << 19, 2048
 _SPOT = (1 << 21) - 1
 _rng = np.random.default_rng(20240607)
@@ -52,14 +52,14 @@ class Prefixes:
 
 
 def anchors(pieces: list[bytes], least: int = LEAST, size: int = ANCHOR) -> tuple[np.ndarray, ...]:
-    """(piece, first, span, anchor hash, context hash) of runs of windows that share an anchor.
+    """(piece, first, span, anchor hash) of runs of windows that share an anchor.
 
     The anchor of a window of `least` bytes is its leftmost `size`-gram of least hash, so equal windows have equal anchors at
     equal distances. A run holds the windows first .. first + span of a piece; its context is the bytes they cover.
     """
     lengths = np.array([len(p) for p in pieces], np.int64)
     data = np.frombuffer(b"".join(pieces), np.uint8)
-    empty = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+    empty = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64))
     if len(data) < least:
         return empty
     hashes = Prefixes(data)
@@ -85,18 +85,35 @@ def anchors(pieces: list[bytes], least: int = LEAST, size: int = ANCHOR) -> tupl
     first = idx[begin]
     last = idx[np.append(begin[1:], len(idx)) - 1]
     span, anchor = last - first, spot[first]
-    context = _mix(hashes.of(first, last + least) + (anchor - first).astype(np.uint64) * np.uint64(0xA0761D6478BD642F) + span.astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB))
     own = piece[first]
-    return own, first - (ends - lengths)[own], span, grams[anchor], context
+    return own, first - (ends - lengths)[own], span, grams[anchor]
 
 
-def _scanned(least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _digest16(raw: bytes) -> bytes:
+    """128 bits of a cryptographic hash: equal ones stand for equal bytes."""
+    return hashlib.blake2b(raw, digest_size=16).digest()
+
+
+def _longs(digests: list[bytes]) -> tuple[pa.Array, pa.Array]:
+    both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+    return pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())
+
+
+_RUN = "h long, ctx long, more long, d long, k long, first long, span int"
+
+
+def _scanned(least: int, whole: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Anchors of all runs; if whole, with a digest of the context and the place of each."""
     step = SCAN - least
 
     def flush(pieces: list[bytes], where: list[tuple[int, int, int]]) -> pa.RecordBatch:
-        piece, first, span, h, ctx = anchors(pieces, least)
+        piece, first, span, h = anchors(pieces, least)
+        anchor = pa.array(h.view(np.int64))
+        if not whole:
+            return pa.RecordBatch.from_arrays([anchor], ["h"])
         d, k, base = (np.array(x, np.int64) for x in zip(*where, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), ctx.view(np.int64), d[piece], k[piece], base[piece] + first, span.astype(np.int32))], ["h", "ctx", "d", "k", "first", "span"])
+        context = _longs([_digest16(pieces[p][a:b]) for p, a, b in zip(piece.tolist(), first.tolist(), (first + span + least).tolist(), strict=True)])
+        return pa.RecordBatch.from_arrays([anchor, *context, *map(pa.array, (d[piece], k[piece], base[piece] + first, span.astype(np.int32)))], [x.split()[0] for x in _RUN.split(", ")])
 
     for batch in batches:
         pieces: list[bytes] = []
@@ -153,44 +170,60 @@ class SuffixArray:
         #: common[i]: of the suffixes at order[i] and order[i + 1].
         self.common = np.minimum(common, np.minimum(left[a], left[b]))
 
-    def covered(self, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """(place, length): suffixes inside an interval of the tree whose common prefix is at least `least`, and the deepest one's."""
-        edge = np.zeros(1, np.int64)
-        best = np.maximum(np.concatenate([edge, self.common]), np.concatenate([self.common, edge]))
-        hit = best >= least
-        return self.order[hit], best[hit]
+    def intervals(self, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(length, first, last) of every maximal repeat: an interval of the common-prefix tree, all of whose places in order share
+        `length` bytes, `least` or more, and before which not the same byte stands everywhere (a border differs from everything).
+
+        What a scan with a stack finds one after another is found for all places at once: the nearest smaller common prefix on
+        each side, by jumps from one candidate to its own candidate, bounds the interval that opens and closes there.
+        """
+        common = np.where(self.common >= least, self.common, 0)
+        at = np.flatnonzero(common)
+        if not len(at):
+            return at, at, at
+        n = len(common)
+        lower = []
+        for value in (common, common[::-1]):
+            padded = np.append(value, -1)
+            near = np.arange(-1, n)  # of place i: i - 1; the last stands for "none" and is smaller than all
+            todo = np.flatnonzero(value)
+            while len(todo):
+                todo = todo[padded[near[todo]] >= value[todo]]
+                near[todo] = near[near[todo]]
+            lower.append(near[:n])
+        first, last = lower[0][at] + 1, n - 1 - lower[1][n - 1 - at]
+        keep = np.unique(first * (n + 1) + last, return_index=True)[1]
+        length, first, last = common[at][keep], first[keep], last[keep]
+        place = self.order
+        border = (place == 0) | (self.left[place - 1] != self.left[place] + 1)
+        byte = self.data[place - 1]
+        changes = np.cumsum(np.concatenate([[0], (byte[1:] != byte[:-1]) | border[1:] | border[:-1]]))
+        diverse = changes[last] > changes[first]
+        return length[diverse], first[diverse], last[diverse]
 
     def maximal_repeats(self, least: int) -> list[tuple[int, np.ndarray]]:
-        """(length, places) of every maximal repeat: intervals of the common-prefix tree whose left neighbours differ.
+        """(length, places) of every maximal repeat of `least` bytes or more, with all its occurrences."""
+        return [(int(n), self.order[a : b + 1]) for n, a, b in zip(*self.intervals(least), strict=True)]
 
-        One scan with a stack: an interval opens where the common prefix grows and closes where it shrinks; on closing it
-        knows whether one byte stands before all its places (a border counts as differing from everything).
+    def covered(self, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """(place, length) of all occurrences of maximal repeats; of groups that hold the same place, that of the longest.
+
+        The longest group of each place is spread from two blocks of a power of two that cover its interval, from large blocks to small.
         """
-        out = []
-        common = np.append(self.common, 0)
-        stack: list[list] = []  # [length, first place in order, the byte before (None: they differ)]
-
-        def before(i: int) -> int | None:
-            p = int(self.order[i])
-            return int(self.data[p - 1]) if p and self.left[p - 1] == self.left[p] + 1 else None
-
-        for i in np.flatnonzero((common >= least) | (np.concatenate([[0], common[:-1]]) >= least)).tolist():
-            now = int(common[i]) if common[i] >= least else 0
-            own = before(i)
-            start, carried, joined = i, own, True
-            if stack:
-                top = stack[-1]
-                top[2] = top[2] if top[2] == own else None
-            while stack and stack[-1][0] > now:
-                length, start, carried = stack.pop()
-                if carried is None:
-                    out.append((length, self.order[start : i + 1]))
-                if stack and stack[-1][0] >= now:
-                    stack[-1][2] = stack[-1][2] if stack[-1][2] == carried else None
-                joined = False
-            if now and (not stack or stack[-1][0] < now):
-                stack.append([now, start, carried if not joined else own])
-        return out
+        length, first, last = self.intervals(least)
+        best = np.zeros(len(self.order), np.int64)
+        if not len(length):
+            return self.order[:0], best[:0]
+        level = np.frexp((last - first + 1).astype(float))[1] - 1
+        for k in range(int(level.max()), -1, -1):
+            own = level == k
+            np.maximum.at(best, first[own], length[own])
+            np.maximum.at(best, last[own] - (1 << k) + 1, length[own])
+            if k:
+                half = 1 << (k - 1)
+                best[half:] = np.maximum(best[half:], best[:-half])
+        hit = best > 0
+        return self.order[hit], best[hit]
 
 
 def _joined(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -249,18 +282,16 @@ def _told_apart(least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
 
 
 def _windows(least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each window of each context, with two hashes of its bytes."""
+    """A row for each window of each context, with a digest of its bytes."""
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):
             part = batch.slice(at, 1000)
             context = column(part, "context").to_pylist()
-            data, left, starts = _joined(context)
-            place = np.flatnonzero(left >= least)
-            own = np.searchsorted(starts, place, "right") - 1
-            one = _mix(Prefixes(data).of(place, place + least))
-            two = _mix(Prefixes(data[::-1].copy()).of(len(data) - place - least, len(data) - place))
+            place = [range(len(x) - least + 1) for x in context]
+            one, two = _longs([_digest16(x[i : i + least]) for x, own in zip(context, place, strict=True) for i in own])
+            own = np.repeat(np.arange(len(context)), [*map(len, place)])
             d, k, first, only = (column(part, c).to_numpy(zero_copy_only=False)[own] for c in ("d", "k", "first", "only"))
-            yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(d), pa.array(k), pa.array(first + place - starts[own]), pa.array(only)], ["w1", "w2", "d", "k", "a", "only"])
+            yield pa.RecordBatch.from_arrays([one, two, pa.array(d), pa.array(k), pa.array(first + np.concatenate([np.arange(len(x)) for x in place])), pa.array(only)], ["w1", "w2", "d", "k", "a", "only"])
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,13 +321,14 @@ def _contexts(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFr
     """Runs whose whole context repeats (d, k, first, span); contexts that vary at their anchor, in few and in many variants."""
     spark = docs.sparkSession
     keyed = _keyed(docs)
-    small_batches(spark, 512)
-    found = keyed.select("d", "k", "text").mapInArrow(partial(_scanned, least), "h long, ctx long, d long, k long, first long, span int")
-    again = found.select("h").groupBy("h").count().where("count > 1").select("h")
-    some = durable(found.join(again, "h", "left_semi"))
+    small_batches(spark)
+    whole_texts = keyed.select("d", "k", "text")
+    again = durable(whole_texts.mapInArrow(partial(_scanned, least, False), "h long").groupBy("h").count().where("count > 1").select("h"))
+    # both sides are plain exchanges, so an anchor that a third of all runs share is split over tasks
+    some = durable(whole_texts.mapInArrow(partial(_scanned, least, True), _RUN).join(again, "h", "left_semi"))
     spot = F.struct("d", "k", "first", "span")
-    kinds = durable(some.groupBy("h", "ctx").agg(F.count("*").alias("n"), F.min(spot).alias("spot")))
-    whole = some.join(kinds.where("n > 1").select("h", "ctx"), ["h", "ctx"], "left_semi").select("d", "k", "first", "span")
+    kinds = durable(some.groupBy("h", "ctx", "more").agg(F.count("*").alias("n"), F.min(spot).alias("spot")))
+    whole = some.join(kinds.where("n > 1").select("h", "ctx", "more"), ["h", "ctx", "more"], "left_semi").select("d", "k", "first", "span")
     varied = kinds.groupBy("h").agg(F.count("*").alias("variants"), F.min("n").alias("fewest")).where("variants > 1 and fewest = 1").select("h", "variants")
     # a context stands for all its copies; which of them is read does not matter
     spots = kinds.join(varied, "h").select(F.col("spot.d").alias("d"), F.col("spot.k").alias("k"), F.struct("h", "spot.d", "spot.k", "spot.first", "spot.span", (F.col("n") == 1).alias("only"), (F.col("variants") > VARIANTS).alias("many")).alias("s"))
@@ -313,12 +345,14 @@ def _contexts(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFr
 def repeated_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(d, k, a, b): bytes of texts covered by strings of `least` bytes that start at two places or more; spans may overlap.
 
-    d and k name a row as _keyed does. Equal windows share an anchor. Where a run's whole context repeats, all of it is
-    covered. Contexts that vary at one anchor meet in enhanced suffix arrays, whole anchors together; an anchor with more
-    than VARIANTS of them is decided by 128-bit hashes of its windows instead, which are counted and never gathered.
+    d and k name a row as _keyed does. Equal windows share an anchor. Where a run's whole context repeats (by a 128-bit
+    cryptographic digest of its bytes), all of it is covered. Contexts that vary at one anchor meet in enhanced suffix arrays,
+    whole anchors together, whose interval trees give the maximal repeats with all their occurrences. The variants of an
+    anchor that has more than VARIANTS are dealt over tasks: their windows meet by the same kind of digest, are counted and
+    never gathered. Both ways cover the same bytes.
     """
     whole, few, many = _contexts(docs, least)
-    small_batches(docs.sparkSession, 4096)
+    small_batches(docs.sparkSession)
     told = few.repartition("h").sortWithinPartitions("h").mapInArrow(partial(_told_apart, least), _COVER)
     windows = many.mapInArrow(partial(_windows, least), "w1 long, w2 long, d long, k long, a long, only boolean")
     counted = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
@@ -349,7 +383,7 @@ def remove_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     text long enough; null ids are rows like others; an empty table gives no rows.
     """
     spans = durable(repeated_spans(docs, least)).groupBy("d", "k").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-    small_batches(docs.sparkSession, 512)
+    small_batches(docs.sparkSession)
     packed = _keyed(docs).mapInArrow(_packed, "d long, k long, doc_id long, z binary")
     return packed.join(spans, ["d", "k"], "left").select("doc_id", "z", "spans").mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
