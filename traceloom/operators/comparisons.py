@@ -21,7 +21,8 @@ def compare_heterozygosity(frame: DataFrame) -> dict:
 
     Returns test, statistic and p; the table of sets stays a plan.
     """
-    he = statistics.heterozygosity(frame)
+    # equal values tie also where they were summed in another order
+    he = statistics.heterozygosity(frame).withColumn("he", F.floor(F.col("he") * F.lit(1e9) + F.lit(0.5)) / F.lit(1e9))
     labels = _two_labels(he)
     if len(labels) < 2:
         return {"test": None, "statistic": None, "p": None}
@@ -55,7 +56,8 @@ def _relabelled(top: DataFrame, rounds: int, seed: int, pairs: DataFrame) -> Dat
     from pyspark.sql import Window
 
     own = top.select("label", "sample_id").distinct()
-    members = pairs.join(own, (F.col("label") == F.col("set1")) | (F.col("label") == F.col("set2")))
+    sides = pairs.select("set1", "set2", F.explode(F.array("set1", "set2")).alias("label"))
+    members = sides.join(own, "label")
     copies = members.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
     place = F.row_number().over(Window.partitionBy("set1", "set2", "round").orderBy(F.xxhash64(F.lit(seed), "round", "sample_id"), "sample_id"))
     first = F.count_if(F.col("label") == F.col("set1")).over(Window.partitionBy("set1", "set2", "round"))

@@ -1,6 +1,7 @@
 """The core query: alleles of sample sets, ranked inside each cell of marker and sample, without noise and stutter."""
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
@@ -92,7 +93,7 @@ def without_stutter(cells: DataFrame, ratio: float, reach: float, base_reach: fl
     return cells.withColumn("_near", near).where(~rule).drop("_near")
 
 
-def allele_frame(alleles: DataFrame, params: AlleleFilter, sets: DataFrame | None = None, markers: DataFrame | None = None, by_sample: bool = False) -> DataFrame:
+def allele_frame(alleles: DataFrame, params: AlleleFilter, sets: DataFrame | None = None, markers: DataFrame | None = None, by_sample: bool = False, refine: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """label (where sets has one) and the columns of FRAME.
 
     Rows of samples in sets (label, sample_id; disjoint) and markers (marker_id) whose type counts and whose height exceeds
@@ -100,9 +101,12 @@ def allele_frame(alleles: DataFrame, params: AlleleFilter, sets: DataFrame | Non
     rel_threshold of the cell's greatest height go; the whole cell goes if its second row is kept but above rel_cutoff; rows
     that are stutter go, without closing the gap in the ranks. If none of these rules is on, ratio is 1 and rank -1.
     Filters on samples, markers, types and heights reach the scan; one exchange by cell serves all windows. by_sample deals
-    rows by sample instead, which serves windows over whole samples too.
+    rows by sample instead, which serves windows over whole samples too. refine is a caller's own rule on the scanned rows, before
+    any ranking; it may filter them, but must keep their columns.
     """
     rows = of_types(alleles, params.peak_types)
+    if refine is not None:
+        rows = refine(rows)
     if params.abs_threshold > 0:
         rows = rows.where(F.col("height") > params.abs_threshold)
     marker = "set_marker_id" if "set_marker_id" in rows.columns else "marker_id"

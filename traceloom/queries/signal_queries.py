@@ -113,7 +113,11 @@ def window_smooth(spark, d):
     return own.select("vec_id", F.col("place").cast("long").alias("place"), stable(F.col("smooth")).alias("smooth"))
 
 
-@query()
+@query(f"""WITH {_ARRAYS}, t AS (SELECT vec_id, data, list_position(data, list_max(data)) AS tp FROM e), u AS (SELECT vec_id, tp, unnest(data[tp:]) AS y, unnest(range(len(data[tp:]))) AS i FROM t),
+w AS (SELECT *, sum(y) OVER o AS area, (y + coalesce(lead(y) OVER o, 0) + coalesce(lead(y, 2) OVER o, 0)) / 3 AS m FROM u WINDOW o AS (PARTITION BY vec_id ORDER BY i)),
+p AS (SELECT *, lag(area) OVER o AS before, lag(m) OVER o AS now, coalesce(lag(m, 2) OVER o, 2 * lag(m) OVER o) AS last FROM w WINDOW o AS (PARTITION BY vec_id ORDER BY i)),
+s AS (SELECT vec_id, coalesce(min(i) FILTER (NOT (now > before * 0.025::DOUBLE AND now < last AND y >= 1) AND i > 0), count(*)) - 1 AS ticks FROM p GROUP BY vec_id)
+SELECT p.vec_id, CAST(tp - 1 AS INT) AS top, area, CAST(ticks AS INT) AS ticks, m >= coalesce(now, 2 * m) AS shared FROM p JOIN s ON s.vec_id = p.vec_id AND p.i = s.ticks""")
 def half_area_fold(spark, d):
     own = _arrays(spark, d)
     top = (F.array_position("data", F.array_max("data")) - 1).cast("int")
@@ -236,20 +240,38 @@ def sized_file_traces(spark, d):
     return channels.spline_sizes(found, channels.ladder_table(aligned))
 
 
-@query()
+_OVER = f"""WITH {_ARRAYS}, c AS (SELECT vec_id AS channel_id, vec_id // 4 AS assay_id, data FROM e), p AS (SELECT *, list_position(data, list_max(data)) - 1 AS rtime, list_max(data) / 2 AS height FROM c),
+x AS (SELECT p.channel_id, p.rtime, p.height, p.data AS mine, o.data AS other, greatest(rtime - 3, 0) AS b, least(rtime + 3, 63) AS e FROM p JOIN c o ON o.assay_id = p.assay_id AND o.channel_id <> p.channel_id),
+y AS (SELECT *, height / other[rtime + 1] AS rel, list_transform(list_zip(mine[b + 1:rtime + 1], other[b + 1:rtime + 1]), lambda z: [z[1], z[2]]) AS l, list_transform(list_zip(mine[rtime + 1:e + 1], other[rtime + 1:e + 1]), lambda z: [z[1], z[2]]) AS r FROM x WHERE mine[b + 1] < other[b + 1] AND mine[e + 1] < other[e + 1] AND height < other[rtime + 1]),
+z AS (SELECT *, len(list_filter(l, lambda q: q[1] > q[2])) + len(list_filter(r, lambda q: q[1] > q[2])) = 0 AS under, list_sum(list_transform(l, lambda q: q[1] / q[2])) / len(l) AS lm, list_sum(list_transform(r, lambda q: q[1] / q[2])) / len(r) AS rm FROM y),
+h AS (SELECT channel_id, count(*) AS n FROM z WHERE under AND (rel < 0.15 OR (rel < 0.75 AND abs(log2(rm / lm)) < 0.5) OR ((lm + rm) / 2 < 0.25 AND abs(log2(rm / lm)) < 1.5) OR ((lm + rm) / 2 < 0.75 AND abs(log2(rm / lm)) < 0.5)) GROUP BY 1)
+SELECT channel_id, CAST(rtime AS INT) AS rtime, height, CASE WHEN n > 0 THEN 'overlap' ELSE 'scanned' END AS type, {fixed('1.0::DOUBLE - 0.1::DOUBLE * coalesce(n, 0)')} AS qscore FROM p LEFT JOIN h USING (channel_id)"""
+
+
+@query(_OVER)
 def preannotate_overlaps(spark, d):
-    """Peaks of a channel under those of another dye of the assay."""
-    own = channels.normalise(synthetic_channels(spark, d)).select("channel_id", "assay_id", "dye", "data")
-    louder = own.where("dye = 'VIC'").select((F.col("channel_id") + 1_000_000).alias("channel_id"), "assay_id", F.lit("PET").alias("dye"), F.transform("data", lambda x: x * 3).alias("data"))
-    both = own.where("dye = 'VIC'").unionByName(louder)
-    found = channels.scan(both).withColumn("qscore", F.lit(1.0))
-    return peaks.mark_overlaps(found, both).select("channel_id", "rtime", "height", "type", "qscore")
+    """Peaks of a channel under those of another dye of the assay; a peak's height is half of its top, so that some are."""
+    own = _arrays(spark, d).select(F.col("vec_id").alias("channel_id"), F.floor(F.col("vec_id") / 4).alias("assay_id"), "data")
+    top = (F.array_position("data", F.array_max("data")) - 1).cast("int")
+    at = own.select("channel_id", top.alias("rtime"), (F.array_max("data") / 2).alias("height"))
+    found = at.withColumns({"brtime": F.col("rtime") - 6, "ertime": F.col("rtime") + 6, "type": F.lit("scanned"), "qscore": F.lit(1.0)})
+    return peaks.mark_overlaps(found, own).select("channel_id", "rtime", "height", "type", stable(F.col("qscore")).alias("qscore"))
 
 
-@query()
+@query(f"""WITH {_MEASURED} SELECT s_name AS "SAMPLE", s_name || '.fsa' AS "FILENAME", 'VIC' AS "DYE", rtime AS "RTIME", height AS "HEIGHT", -1.0::DOUBLE AS "SIZE", -1.0::DOUBLE AS "SCORE" FROM m JOIN supplier ON s_suppkey = channel_id % 100""")
 def export_peaks(spark, d):
+    """The list of peaks of some files; its last column, a hash that names the peak, has no form in SQL."""
     from ..sources import exports
 
-    own = channels.normalise(synthetic_channels(spark, d)).where("dye <> 'LIZ'")
+    own = _measured(spark, d).withColumns({"assay_id": F.col("channel_id") % 100, "dye": F.lit("VIC"), "size": F.lit(-1.0)})
     assays = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("assay_id"), F.col("s_name").alias("sample"), F.concat("s_name", F.lit(".fsa")).alias("filename"))
-    return exports.peak_rows(channels.scan(own), assays)
+    return exports.peak_rows(own, assays).drop("ID")
+
+
+@query()
+def trace_tables(spark, d):
+    """Raw and baseline columns of each file, a column for each dye, as they are written to text tables."""
+    from ..sources import abif
+
+    both = channels.normalise(synthetic_channels(spark, d)).select(F.concat(F.lit("a"), F.col("assay_id").cast("string")).alias("path"), "dye", "data", "baseline")
+    return abif.trace_rows(both, "data").select("path", "rtime", "VIC", "LIZ").join(abif.trace_rows(both, "baseline").select("path", "rtime", F.col("VIC").alias("vic_baseline"), F.col("LIZ").alias("liz_baseline")), ["path", "rtime"])

@@ -6,8 +6,9 @@ from ..catalog import MARKERS
 from ..functions import ranktests
 from ..functions.stable import fixed as stable
 from ..operators import comparisons, distance, statistics, views
+from ..operators.core import allele_frame
 from ..sources import exports
-from .base import WIDE, core, fixed, frame, query
+from .base import PARAMS, WIDE, core, fixed, frame, query
 
 _SUMMARY = """s AS (SELECT label, marker_id, value, count(*)::BIGINT AS n, avg(height) AS mh, avg(size) AS ms, min(size) AS min_size, max(size) AS max_size FROM f GROUP BY ALL)"""
 
@@ -168,61 +169,77 @@ def haplotype_summary(spark, d):
     return statistics.genotype_groups(frame(spark, d, WIDE), MARKERS)
 
 
-def _three(spark, d):
-    """The frame of three sets, of which tests are made that repeat it many times."""
-    return frame(spark, d).where("label in ('ECONOMY', 'PROMO', 'SMALL')")
-
-
 @query()
 def fst_permutation_test(spark, d):
-    return comparisons.fst_permutations(_three(spark, d), rounds=20)
+    return comparisons.fst_permutations(frame(spark, d))
 
 
 @query()
 def jost_bootstrap_interval(spark, d):
-    return comparisons.jost_bootstrap(_three(spark, d), rounds=50)
+    return comparisons.jost_bootstrap(frame(spark, d))
 
 
 @query()
 def association_permutation_test(spark, d):
-    few = frame(spark, d, WIDE).where("label in ('ECONOMY', 'PROMO')")
-    return comparisons.association_test(few, MARKERS, rounds=10)
+    return comparisons.association_test(frame(spark, d, WIDE), MARKERS)
 
 
-@query()
+def _kruskal(table: str, value: str) -> str:
+    return f"""x AS (SELECT label, {value} AS v FROM {table}), t AS (SELECT label, v, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0::DOUBLE AS mid FROM x),
+g2 AS (SELECT label, count(*)::DOUBLE AS k, sum(mid) AS r FROM t GROUP BY ALL), n AS (SELECT count(*)::DOUBLE AS n FROM t), tie AS (SELECT sum(c * c * c - c)::DOUBLE AS t FROM (SELECT count(*)::DOUBLE AS c FROM t GROUP BY v))
+SELECT 'Kruskal-Wallis' AS test, {fixed('(12.0::DOUBLE / (n * (n + 1)) * (SELECT sum(r * r / k) FROM g2) - 3 * (n + 1)) / (1 - (SELECT t FROM tie) / (n * n * n - n))')} AS statistic FROM n"""
+
+
+def _compared(spark, result: dict):
+    return spark.createDataFrame([(result["test"], result["statistic"])], "test string, statistic double").withColumn("statistic", stable(F.col("statistic")))
+
+
+@query(core() + f", {_HE}, " + _kruskal("h", "floor(he * 1e9 + 0.5)"))
 def he_comparison(spark, d):
-    return spark.createDataFrame([tuple(comparisons.compare_heterozygosity(frame(spark, d)).values())], "test string, statistic double, p double")
+    """Test and statistic; the probability, a tail that SQL lacks, is tested by itself."""
+    return _compared(spark, comparisons.compare_heterozygosity(frame(spark, d)))
 
 
-@query()
+@query(core() + ", " + _kruskal("moi", "moi"))
 def moi_comparison(spark, d):
-    return spark.createDataFrame([tuple(comparisons.compare_infection(frame(spark, d)).values())], "test string, statistic double, p double")
+    return _compared(spark, comparisons.compare_infection(frame(spark, d)))
+
+
+@query(core(WIDE) + "SELECT a.sample_id AS i, b.sample_id AS j, NULL::DOUBLE AS d FROM g a JOIN g b ON a.sample_id < b.sample_id")
+def null_distance(spark, d):
+    """All pairs without a distance: what a caller gets who puts no measure in."""
+    return distance.pairwise(_genotypes(spark, d), distance=distance.null_distance)
 
 
-def _picture(spark, d):
-    """Genotypes of few samples for pictures: those of one batch."""
-    few = catalog.samples(spark, d).where("batch = 'Brand#1'").select("sample_id")
-    return _genotypes(spark, d).join(few, "sample_id", "left_semi")
+@query()
+def one_hot_components(spark, d):
+    return distance.one_hot_components(_genotypes(spark, d), 2)
 
 
 @query()
 def pcoa(spark, d):
-    return distance.pcoa(_picture(spark, d), 2)
+    return distance.pcoa(_genotypes(spark, d), 2)
 
 
 @query()
 def mca(spark, d):
-    return distance.mca(_picture(spark, d), 2)
+    return distance.mca(_genotypes(spark, d), 2)
 
 
 @query()
 def nj_tree(spark, d):
-    return distance.neighbour_tree(_picture(spark, d))
+    return distance.neighbour_tree(_genotypes(spark, d))
 
 
 _CODES = "JOIN samples s USING (sample_id) JOIN markers m USING (marker_id)"
 
 
+@query(core().replace("AND height > ", "AND assay_id % 3 <> 1 AND height > ") + "SELECT label, marker_id, sample_id, value, size, height, assay_id, allele_id, ratio, rank FROM f")
+def refined_scan(spark, d):
+    """A caller's own rule on the scan, before anything is ranked: alleles of some assays only."""
+    return allele_frame(catalog.alleles(spark, d), PARAMS, catalog.samples(spark, d), refine=lambda rows: rows.where("assay_id % 3 <> 1"))
+
+
 @query(core() + f"SELECT f.label AS LABEL, m.code AS MARKER, s.code AS SAMPLE, value AS BIN, size AS SIZE, height AS HEIGHT, ratio AS RATIO, rank AS RANK FROM f {_CODES}")
 def export_alleledf(spark, d):
     return exports.allele_rows(frame(spark, d), catalog.samples(spark, d), catalog.markers(spark))
