@@ -44,12 +44,75 @@ def test_features_do_not_cross_texts():
     assert len(quality.features([b"", b" "])[0]) == 0
 
 
-def test_long_texts_come_in_pieces(monkeypatch):
-    monkeypatch.setattr(quality, "SCAN", 64)
-    text = b" ".join(b"word%d" % i for i in range(200))
-    parts, own = zip(*quality._chunks([text, b"x", b""]), strict=True)
-    flat = [p for ps in parts for p in ps]
-    assert b"".join(flat[:-2]) == text and np.concatenate(own).tolist()[-2:] == [1, 2] and max(map(len, flat)) <= 64
+@pytest.mark.parametrize("scan", [8, 64, 300])
+def test_long_texts_in_pieces_have_the_n_grams_of_the_whole(monkeypatch, scan):
+    text = b" ".join(b"word%d" % (i % 23 if i % 5 else i) for i in range(400)) + b"\n" + b"long" * 60 + b" end, word1 word1"
+    rows = [text, b"x", b"", b"a  b\n\nc " * 50]
+    want = quality.features(rows)
+    monkeypatch.setattr(quality, "SCAN", scan)
+    got, pieces = [], 0
+    for parts, own, known in quality._chunks(rows):
+        doc, bucket = quality.features(parts, known)
+        got += list(zip(own[doc].tolist(), bucket.tolist(), strict=True))
+        pieces += len(parts)
+    assert sorted(got) == sorted(zip(want[0].tolist(), want[1].tolist(), strict=True)) and pieces > 8
+
+
+MASK = (1 << 64) - 1
+
+
+def mix(x):
+    x = (x ^ x >> 31) * 0x9E3779B97F4A7C15 & MASK
+    return x ^ x >> 29
+
+
+def slow_hash(word):
+    odd = quality._ODD.tolist()
+    return mix(sum(mix(int(quality._BYTE[b]) * odd[min(i, len(odd) - 1)] + i & MASK) for i, b in enumerate(word)) & MASK)
+
+
+def slow_features(raw):
+    """The four n-grams of each word, one word after another."""
+    words, part, out = raw.split(), quality.BUCKETS // 4, []
+    shape = lambda w: bytes(c for i, c in enumerate(quality._CLASS[list(w)].tolist()) if not i or c != quality._CLASS[w[i - 1]])
+    for i, w in enumerate(words):
+        last, last_shape = (slow_hash(words[i - 1]), slow_hash(shape(words[i - 1]))) if i else (1, 1)
+        back = next((d for d in range(1, quality.BACK + 1) if d <= i and words[i - d] == w), 0)
+        grams = [slow_hash(w), mix(last) + slow_hash(w), mix(last_shape + 3) + slow_hash(shape(w)), back + 11]
+        out += [mix(g + int(quality._ODD[j]) & MASK) % part + j * part for j, g in enumerate(grams)]
+    return out
+
+
+def test_against_plain_loops(spark):
+    """Counts, ratios, scores, threshold and kept rows, all by loops and sorting; only the noise comes from the engine."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").where("doc_id < 220 or doc_id % 10 = 0").limit(220)
+    docs = docs.unionByName(docs.limit(1).withColumns({"doc_id": F.lit(-1).cast("long"), "text": F.lit("")})).cache()
+    labels = spark.read.parquet(f"{FOLDER}/labels.parquet").join(docs.select("doc_id"), "doc_id").cache()
+    rows = {r.doc_id: (r.text or "", r.u) for r in docs.select("doc_id", "text", ((F.pmod(F.xxhash64(F.lit("gumbel"), "doc_id", "text"), F.lit(1 << 52)) + 0.5) / float(1 << 52)).alias("u")).collect()}
+    split = {r.doc_id: (r.quality > 0, r.held) for r in labels.withColumn("held", F.pmod(F.xxhash64(F.lit("held"), F.col("doc_id").cast("long")), F.lit(4)) == 0).collect()}
+    grams = {d: slow_features(t.encode()) for d, (t, _) in rows.items()}
+    raw, target = (np.zeros(quality.BUCKETS) for _ in range(2))
+    for d, own in grams.items():
+        for g in own:
+            raw[g] += 1
+            target[g] += split.get(d) == (True, False)
+    part, score = quality.BUCKETS // 4, {}
+    share = lambda counts, g: (counts[g] + 1) / (counts[g // part * part : g // part * part + part].sum() + part)
+    for d, own in grams.items():
+        score[d] = sum(np.log(share(target, g) / share(raw, g)) for g in own) / (len(own) + quality.PRIOR)
+    held = {d: good for d, (good, out) in split.items() if out}
+    ordered = sorted(score[d] for d in held)
+    cuts = [ordered[0] - 1, *((a + b) / 2 for a, b in zip(ordered[:-1], ordered[1:], strict=True))]
+    good, bad = ([score[d] for d, g in held.items() if g == want] for want in (True, False))
+    wrong = [sum(x < c for x in good) / len(good) + sum(x >= c for x in bad) / len(bad) for c in cuts]
+    best = [i for i, w in enumerate(wrong) if w <= min(wrong) + 1e-12]
+    threshold = cuts[best[len(best) // 2]]
+    weight = {d: (score[d] - threshold) / quality.TEMPERATURE - np.log(-np.log(u)) for d, (_, u) in rows.items()}
+    kept = set(sorted(weight, key=weight.get, reverse=True)[: sum(x > threshold for x in score.values())])
+    got = {r.doc_id: r for r in quality.score_documents(docs, labels).collect()}
+    assert set(got) == set(rows)
+    for d, r in got.items():
+        assert r.score == pytest.approx(score[d], abs=1e-9) and r.weight == pytest.approx(weight[d], abs=1e-5) and r.kept == (d in kept)
 
 
 def test_odd_tables(spark):

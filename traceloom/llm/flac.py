@@ -64,57 +64,98 @@ def _coded_number(n: int) -> bytes:
     return bytes([(0xFF00 >> size & 0xFF) | n, *tail[::-1]])
 
 
-def _residuals(x: np.ndarray, order: int) -> np.ndarray:
-    return np.diff(x, n=order, axis=1) if order else x
+#: Order of the linear predictor, bits of its coefficients, and how many of them are behind the point.
+ORDER, PRECISION, SHIFT = 4, 12, 9
+
+
+def predictors(x: np.ndarray) -> np.ndarray:
+    """(frames, ORDER) whole-number coefficients, of SHIFT bits behind the point, by Levinson and Durbin's recursion.
+
+    The samples are windowed and their mean stays in, as the decoder knows none. Silent frames get zeros.
+    """
+    w = x * np.hanning(x.shape[1])
+    r = np.stack([np.einsum("ij,ij->i", w[:, : x.shape[1] - k], w[:, k:]) for k in range(ORDER + 1)], axis=1)
+    a, error = np.zeros((len(x), ORDER)), r[:, 0] * (1 + 1e-6) + 1e-9
+    for i in range(ORDER):
+        k = (r[:, i + 1] - (a[:, :i] * r[:, i:0:-1]).sum(axis=1)) / error
+        a[:, :i] -= k[:, None] * a[:, i - 1 :: -1][:, :i] if i else 0
+        a[:, i] = k
+        error *= 1 - k * k
+    most = 1 << (PRECISION - 1)
+    return np.clip(np.rint(a * (1 << SHIFT)), -most, most - 1).astype(np.int32)
+
+
+def _predicted(x: np.ndarray, coefficients: np.ndarray) -> np.ndarray:
+    """Residuals of the linear predictor, for all samples after the first ORDER."""
+    n = x.shape[1]
+    total = np.zeros((len(x), n - ORDER), np.int32)
+    for j in range(ORDER):
+        total += coefficients[:, j, None] * x[:, ORDER - 1 - j : n - 1 - j]
+    return x[:, ORDER:] - (total >> SHIFT)
+
+
+def _field(out: np.ndarray, rows: np.ndarray, at: int, width: int, value) -> None:
+    """Write the low bits of value (a number, or one for each row) at a place of these rows."""
+    for j in range(width):
+        out[rows, at + j] = np.asarray(value) >> (width - 1 - j) & 1
 
 
 class _Frames:
-    """Coded subframe bits of many frames, each of BLOCK samples."""
+    """Coded subframe bits of many frames, each of BLOCK samples: constant, verbatim, a fixed predictor or a linear one, whichever is shortest."""
 
     def __init__(self, samples: np.ndarray):
         """samples: (frames, BLOCK) signed 8-bit values."""
         x = samples.astype(np.int32)
         n = len(x)
-        sums = np.stack([np.abs(_residuals(x, k)).sum(axis=1) / (BLOCK - k) for k in range(3)])
-        order = sums.argmin(axis=0)
         constant = (x == x[:, :1]).all(axis=1)
-        folded = np.zeros((n, BLOCK), np.int64)
-        for k in range(3):
-            at = np.flatnonzero(order == k)
-            e = _residuals(x[at], k).astype(np.int64)
-            folded[at, k:] = np.where(e < 0, -2 * e - 1, 2 * e)
+        linear = predictors(x)
+        # kinds 0 .. ORDER are fixed predictors of that order, the last one is the linear one
+        residuals = [*(np.diff(x, n=k, axis=1) if k else x for k in range(ORDER + 1)), _predicted(x, linear)]
+        orders = np.array([*range(ORDER + 1), ORDER])
+        sums = np.stack([np.abs(e).sum(axis=1) / e.shape[1] for e in residuals])
+        # the coefficients weigh as much as a tenth of a bit a sample, about
+        sums[-1] *= 1.07
+        kind = sums.argmin(axis=0)
+        order = orders[kind]
+        folded = np.zeros((n, BLOCK), np.int32)
+        for k, e in enumerate(residuals):
+            at = np.flatnonzero(kind == k)
+            folded[at, orders[k] :] = e[at] << 1 ^ e[at] >> 31
         live = np.arange(BLOCK)[None, :] >= order[:, None]
         costs = np.stack([np.where(live, (folded >> k) + 1 + k, 0).sum(axis=1) for k in range(9)])
         rice = costs.argmin(axis=0)
-        # subframe header 8, warm-up 8 each, coding method 2, partition order 4, parameter 4
-        coded = 8 + 8 * order + 10 + costs.min(axis=0)
+        # subframe header 8, warm-up 8 each, precision 4, shift 5 and coefficients, coding method 2, partition order 4, parameter 4
+        coded = 8 + 8 * order + np.where(kind > ORDER, 9 + ORDER * PRECISION, 0) + 10 + costs.min(axis=0)
         verbatim = (coded >= 8 + 8 * BLOCK) & ~constant
         rice_coded = ~verbatim & ~constant
         bits = np.where(constant, 16, np.where(verbatim, 8 + 8 * BLOCK, coded))
         self.sizes = (bits + 7) // 8
-        room = int(self.sizes.max()) * 8
-        out = np.zeros((n, room), np.uint8)
+        out = np.zeros((n, int(self.sizes.max()) * 8), np.uint8)
         bytes_ = np.unpackbits((x & 255).astype(np.uint8), axis=1)
         at = np.flatnonzero(constant)
         out[at, 8:16] = bytes_[at, :8]
         at = np.flatnonzero(verbatim)
-        out[at, 6] = 1
         if len(at):
+            out[at, 6] = 1
             out[at, 8 : 8 + 8 * BLOCK] = bytes_[at]
-        for k in range(3):
-            at = np.flatnonzero(rice_coded & (order == k))
+        for k in range(ORDER + 2):
+            at = np.flatnonzero(rice_coded & (kind == k))
             if not len(at):
                 continue
-            # type 001ooo after the zero pad bit
-            out[at, 3] = 1
-            for j in range(3):
-                out[at, 4 + j] = k >> (2 - j) & 1
-            out[at, 8 : 8 + 8 * k] = bytes_[at, : 8 * k]
-            base = 8 + 8 * k + 6
-            for j in range(4):
-                out[at, base + j] = rice[at] >> (3 - j) & 1
-            base += 4
-            value, p = folded[at, k:], rice[at][:, None]
+            warm = int(orders[k])
+            _field(out, at, 1, 6, 8 + k if k <= ORDER else 31 + ORDER)
+            out[at, 8 : 8 + 8 * warm] = bytes_[at, : 8 * warm]
+            base = 8 + 8 * warm
+            if k > ORDER:
+                _field(out, at, base, 4, PRECISION - 1)
+                _field(out, at, base + 4, 5, SHIFT)
+                base += 9
+                for j in range(ORDER):
+                    _field(out, at, base, PRECISION, linear[at, j])
+                    base += PRECISION
+            _field(out, at, base + 6, 4, rice[at])
+            base += 10
+            value, p = folded[at, warm:], rice[at][:, None]
             quotient = value >> p
             stop = base + np.cumsum(quotient + 1 + p, axis=1) - p - 1
             row = np.broadcast_to(at[:, None], stop.shape)

@@ -1,6 +1,7 @@
 """Quality classifier by importance resampling: hashed n-gram models of target and raw text, and a Gumbel top-k sample."""
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import partial
 from typing import NamedTuple
@@ -37,6 +38,7 @@ def _classes() -> np.ndarray:
     return out
 
 
+_WHITE = re.compile(rb"[\x20\t-\r]")
 _CLASS, _SPACE = _classes(), np.isin(np.arange(256), [32, *range(9, 14)])
 _BYTE = np.random.default_rng(77).integers(1, 1 << 62, 256, dtype=np.uint64)
 
@@ -62,8 +64,8 @@ def _hashed(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray
     return _mix(_sums(values, ends - size, ends))
 
 
-def features(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(document, bucket) of every n-gram of these texts, four to a word.
+def features(raw: list[bytes], known: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(document, bucket) of every n-gram of these texts, four to a word; the first `known` words of each only stand before others.
 
     The n-grams are the word, the word and the one before it, the shapes of both (runs of one character class count once),
     and how many words back, up to BACK, the same word stands. Words are parted by ASCII white space; no n-gram crosses the end of a text.
@@ -93,32 +95,43 @@ def features(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         back[hit] = d
     grams = [word, _mix(last(word)) + word, _mix(last(shape) + np.uint64(3)) + shape, back + np.uint64(11)]
     bucket = np.stack([_mix(g + _ODD[i]) % np.uint64(BUCKETS // 4) + np.uint64(i * (BUCKETS // 4)) for i, g in enumerate(grams)])
-    return np.tile(doc, 4), bucket.astype(np.int64).ravel()
+    new = np.arange(len(doc)) - np.searchsorted(doc, doc, "left") >= np.broadcast_to(known, len(raw))[doc]
+    return np.tile(doc[new], 4), bucket.astype(np.int64)[:, new].ravel()
 
 
-def _chunks(rows: list[bytes]) -> Iterator[tuple[list[bytes], np.ndarray]]:
-    """(texts, their places in rows), of about SCAN bytes together; a longer text comes in pieces, parted at white space."""
+def _chunks(rows: list[bytes]) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+    """(texts, their places in rows, words known before), of about SCAN bytes together.
+
+    A longer text comes in pieces, parted at white space, each after the last BACK words before it, so its n-grams are those
+    of the whole.
+    """
     parts: list[bytes] = []
     own: list[int] = []
+    known: list[int] = []
     size = 0
     for i, raw in enumerate(rows):
-        at = 0
+        at, before = 0, []
         while True:
             stop = len(raw)
             if stop - at > SCAN:
-                stop = max(raw.rfind(b" ", at, at + SCAN), raw.rfind(b"\n", at, at + SCAN))
-                stop = at + SCAN if stop <= at else stop + 1
+                stop = max(raw.rfind(b" ", at, at + SCAN), raw.rfind(b"\n", at, at + SCAN)) + 1
+                if stop <= at:
+                    gap = _WHITE.search(raw, at + SCAN)
+                    stop = gap.end() if gap else len(raw)
             if parts and size + stop - at > SCAN:
-                yield parts, np.array(own)
-                parts, own, size = [], [], 0
-            parts.append(raw[at:stop])
+                yield parts, np.array(own), np.array(known)
+                parts, own, known, size = [], [], [], 0
+            piece = raw[at:stop]
+            parts.append(b" ".join([*before, piece]))
             own.append(i)
+            known.append(len(before))
             size += stop - at
             at = stop
             if at >= len(raw):
                 break
+            before = [*before, *piece.rsplit(None, BACK)[-BACK:]][-BACK:]
     if parts:
-        yield parts, np.array(own)
+        yield parts, np.array(own), np.array(known)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,8 +140,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw = [x.encode() for x in texts(batch)]
         target = column(batch, "target").to_numpy(zero_copy_only=False)
-        for parts, own in _chunks(raw):
-            doc, bucket = features(parts)
+        for parts, own, known in _chunks(raw):
+            doc, bucket = features(parts, known)
             counts[0] += np.bincount(bucket, minlength=BUCKETS)
             counts[1] += np.bincount(bucket[target[own[doc]]], minlength=BUCKETS)
     if counts.any():
@@ -138,8 +151,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def scores(raw: list[bytes], ratio: np.ndarray) -> np.ndarray:
     """Mean log ratio of target to raw text over a text's n-grams and PRIOR neutral ones; 0 for a text without words."""
     total, n = np.zeros(len(raw)), np.zeros(len(raw), np.int64)
-    for parts, own in _chunks(raw):
-        doc, bucket = features(parts)
+    for parts, own, known in _chunks(raw):
+        doc, bucket = features(parts, known)
         np.add.at(total, own, np.bincount(doc, ratio[bucket], minlength=len(own)))
         np.add.at(n, own, np.bincount(doc, minlength=len(own)))
     return total / (n + PRIOR)
@@ -203,16 +216,16 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> Model:
     for r in counted.collect():
         raw[r.bucket], target[r.bucket] = r.raw, r.target
     ratio = log_ratio(raw, target) if target.any() else np.zeros(BUCKETS)
-    held = rows.join(F.broadcast(sample.where("held").select(F.col("label_id").alias("doc_id"), "good")), "doc_id").select("good", F.col("text").alias("_text"))
-    # its size is bounded by the sample's, but for repeated ids
-    found = held.mapInArrow(partial(_scored_text, ratio), "good boolean, score double").groupBy("good", "score").count().orderBy("good", "score").limit(2 * most).collect()
+    held = rows.join(F.broadcast(sample.where("held").select(F.col("label_id").alias("doc_id"), "good")), "doc_id").select("doc_id", "good", F.col("text").alias("_text"))
+    # one row for each held label, however many rows have its id
+    found = held.mapInArrow(partial(_scored_text, ratio), "doc_id long, good boolean, score double").groupBy("doc_id", "good").agg(F.avg("score").alias("score")).collect()
     good, bad = (np.array([r.score for r in found if r.good == g]) for g in (True, False))
     return Model(ratio, best_threshold(good, bad))
 
 
 def _scored_text(ratio: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([column(batch, "good"), pa.array(scores([x.encode() for x in texts(batch, "_text")], ratio))], ["good", "score"])
+        yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "good"), pa.array(scores([x.encode() for x in texts(batch, "_text")], ratio))], ["doc_id", "good", "score"])
 
 
 def kth_key(keys: DataFrame, k: int) -> int | None:
