@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from .joins import small
 
+#: Bins of all markers that are brought to the driver between rounds, at most.
+MOST_BINS = 200_000
+
 
 def initial_bins(markers: DataFrame) -> DataFrame:
     """(marker_id, bin, mean, p25, p75) from start (inclusive) to stop (exclusive) in steps of repeats, one base either way."""
@@ -98,8 +101,11 @@ def bin_channels(peaks: DataFrame, channel_markers: DataFrame, bins: DataFrame,
 
 
 def fixed_bins(bins: DataFrame) -> DataFrame:
-    """bins as a table of its own, without the plan that led to it; some hundreds of rows a marker at most."""
-    return bins.sparkSession.createDataFrame(bins.collect(), bins.schema)
+    """bins as a table of its own, without the plan that led to it; some hundreds of rows a marker, MOST_BINS in all."""
+    rows = bins.limit(MOST_BINS + 1).collect()
+    if len(rows) > MOST_BINS:
+        raise ValueError(f"more than {MOST_BINS} bins")
+    return bins.sparkSession.createDataFrame(rows, bins.schema)
 
 
 def refine_bins(sized: DataFrame, bins: DataFrame, rounds: int = 3) -> DataFrame:

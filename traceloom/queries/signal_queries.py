@@ -1,4 +1,5 @@
 """Peaks of exploded traces, array operators, and kernels over traces."""
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -175,16 +176,29 @@ def channel_assignment(spark, d):
     return channels.assign_channels(own, panels, ("X/B",)).select("channel_id", "assay_id", "dye", "panel", "marker", "status")
 
 
+def _drawn(batches):
+    """Bell curves at the tops of each channel, over a floor that wavers by a few units."""
+    t = np.arange(10_000)
+    for batch in batches:
+        raw = []
+        for channel, tops in zip(batch["channel_id"], batch["tops"], strict=True):
+            y = 50.0 + (channel * 7919 + t * 104_729 + t * t % 97) % 5
+            for top in tops:
+                near = np.arange(max(0, int(top) - 40), min(len(t), int(top) + 41))
+                y[near] += 800.0 * np.exp(-((near - top) ** 2) / 32)
+            raw.append(y)
+        yield batch.drop(columns="tops").assign(raw=raw)
+
+
 def synthetic_channels(spark, d):
     """Raw channels of assays with a ladder, made from suppliers: bell curves on a known curve of sizes over time."""
     sizes = F.array(*map(F.lit, LADDERS["LIZ500"].sizes))
     own = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("assay_id"))
     ladder = own.select("assay_id", (F.col("assay_id") * 2).alias("channel_id"), F.lit("LIZ").alias("dye"), sizes.alias("sizes"))
     sample = own.select("assay_id", (F.col("assay_id") * 2 + 1).alias("channel_id"), F.lit("VIC").alias("dye"), F.array(*(F.lit(s) + F.col("assay_id") % 5 for s in (120.0, 124.0, 210.0, 330.0))).alias("sizes"))
-    both = ladder.unionByName(sample)
     tops = F.transform("sizes", lambda s: F.lit(1200.0) + F.col("assay_id") % 11 + s * 14 + s * s * F.lit(0.002))
-    point = lambda t: F.lit(50.0) + F.pmod(F.xxhash64("channel_id", t), F.lit(5)) + F.aggregate(F.filter(F.col("tops"), lambda x: F.abs(x - t) < 40), F.lit(0.0), lambda a, x: a + F.lit(800.0) * F.exp(-((t - x) * (t - x)) / 32))
-    return both.withColumn("tops", tops).select("assay_id", "channel_id", "dye", F.transform(F.sequence(F.lit(0), F.lit(9999)), point).alias("raw"))
+    both = ladder.unionByName(sample).select(F.col("assay_id").cast("long"), F.col("channel_id").cast("long"), "dye", tops.alias("tops"))
+    return both.mapInPandas(_drawn, "assay_id long, channel_id long, dye string, raw array<double>")
 
 
 @query()
