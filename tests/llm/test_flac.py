@@ -151,6 +151,32 @@ def test_seek():
     assert len(flac.Stream(data).seek) > 10
 
 
+def test_seek_tables_with_gaps_and_lies():
+    payload = flac.payload_of("".join(chr(33 + i * i % 90) for i in range(90_000)))
+    data = flac.encode_streams([payload])[0]
+    stream = flac.Stream(data)
+    assert len(stream.seek) < stream.total // flac.BLOCK and flac.decode_streams([data]) == [payload]
+    at = data.index(b"\x83") + 4 + 18 + 8  # the place of the second point
+    with pytest.raises(flac.FlacError):
+        flac.decode_streams([data[:at] + bytes(8) + data[at + 8 :]])
+
+
+def test_blocks_with_their_places(spark):
+    media = flac.encode_media(documents(spark))
+    files = {}
+    for r in media.collect():
+        files.setdefault(r.doc_id, []).append(bytes(r.media))
+    got = flac.pcm_blocks(media).collect()
+    whole = {}
+    for r in got:
+        whole.setdefault(r.doc_id, {})[r.sample] = bytes(r.pcm)
+        assert any(f[r.byte : r.byte + 2] == b"\xff\xf8" for f in files[r.doc_id])
+    for d, text, _ in ODD:
+        if d not in (5, None):
+            assert b"".join(x for _, x in sorted(whole[d].items())) == flac.payload_of(text or "")
+    assert flac.pcm_blocks(flac.encode_media(empty(spark))).count() == 0
+
+
 def test_standard_header():
     data = flac.encode_streams([b"\x80" * 576])[0]
     assert data[:4] == b"fLaC" and data[4] == 0 and int.from_bytes(data[5:8], "big") == 34 and data[26:42] == hashlib.md5(b"\0" * 576).digest()

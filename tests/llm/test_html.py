@@ -64,3 +64,34 @@ def test_whole_table_by_hand(spark):
         inner = re.search(r"<article>(.*)</article>", page, re.S)[1]
         blocks = (" ".join(unescape(re.sub("</?b>", "", b).replace("<br>", " ")).split()) for b in re.split("</?(?:p|h1)>", inner))
         assert got[i] == "\n\n".join(b for b in blocks if b)
+
+
+def test_template_chooses_without_marks_and_names(spark):
+    """Pages whose article, menu, footer and advert are plain containers: on hosts with a template the text stays the same."""
+    folder = "/root/testdata/sf0.01"
+    pages = spark.read.parquet(f"{folder}/pages.parquet")
+    marked = {r.page_id: r for r in html.extract_text(pages).collect()}
+    plain = F.regexp_replace(F.regexp_replace("html", "<(/?)(?:article|nav|footer)>", "<$1div>"), '<div class="ad">', "<div>")
+    got = {r.page_id: r for r in html.extract_text(pages.withColumns({"html": plain, "text": F.lit("x"), "main": F.lit("y"), "by_template": F.lit(1), "chars": F.lit(2)})).collect()}
+    assert set(got) == set(marked)
+    chosen = [i for i, r in got.items() if r.by_template]
+    assert len(chosen) >= 0.85 * len(got) and sum(r.by_template for r in marked.values()) >= 0.85 * len(marked)
+    assert all(got[i].text == marked[i].text for i in chosen)
+
+
+def test_marks_do_not_decide_where_there_is_a_template():
+    """A page that marks its advert as the article, on a host whose template knows better."""
+    pages = [f"<body><div class=a><p>ad {i}</p></div><div class=b><h1>T {i}</h1><p>{'words of the story ' * 5}{i}</p></div><div class=c><a href=x>link to {i} and more and more and more text of links here</a></div></body>" for i in range(6)]
+    counted = [html.parse(p)[0] for p in pages]
+    paths = [t for t in counted[0] if t.startswith("/body/div") and not t.endswith(">") and t.count("/") == 2]
+    stats = {".a": (4, 0, 0), ".b": (100, 0, 0), ".c": (60, 60, 0)}
+    template = [{"token": t, "class": 1, "chars": next(v[0] for k, v in stats.items() if k in t), "linked": next(v[1] for k, v in stats.items() if k in t), "beside": 0, "marked": 0, "repeated": 0} for t in paths]
+    page = pages[0].replace("<div class=a><p>ad 0</p></div>", "<div class=a><article><p>ad 0</p></article></div>")
+    text, by = html.chosen(page, template)
+    assert by and text == ["T 0", "words of the story " * 5 + "0"]
+
+
+def test_lines_that_a_host_repeats_stay_inside_the_article(spark):
+    rows = [(i, f"http://h.example/{i}", f"<body><div class=x><p>Own text of page {i}, long enough to count as the story.</p><p>License line of all pages.</p></div><div class=y><p>Same on all pages too.</p></div></body>") for i in range(8)]
+    got = html.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(r.by_template and r.text == f"Own text of page {r.page_id}, long enough to count as the story.\n\nLicense line of all pages." for r in got)

@@ -66,3 +66,14 @@ def test_odd_rows(spark, size):
             at += length
         assert at <= size
     assert packing.pack_documents(empty(spark), PATH).count() == 0
+
+
+def test_few_sequences_for_a_table(spark):
+    """No more than a percent above what the tokens, and pieces that cannot share a sequence, ask for; equal lengths spread over tasks."""
+    out = packing.op9_best_fit_packing(spark, "/root/testdata/sf0.01").select("sequence_id", "length", "offset", "doc_id", "piece").collect()
+    least = max(-(-sum(r.length for r in out) // 4096), sum(r.length > 2048 for r in out))
+    assert len({r.sequence_id for r in out}) <= 1.01 * least + 1
+    docs = documents(spark, [(i, "same text here", "s") for i in range(5000)]).repartition(7)
+    got = packing.pack_documents(docs, PATH).collect()
+    size = got[0].length
+    assert len({(r.sequence_id, r.offset) for r in got}) == 5000 and len({r.sequence_id for r in got}) == -(-5000 // (4096 // size))

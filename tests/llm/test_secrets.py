@@ -75,3 +75,23 @@ def test_table(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     for r in secrets.op8_secret_scans(spark, "/root/testdata/sf0.001").collect():
         assert (r.n_assign, r.n_access, r.n_hex, r.base_sha256) == slow(docs[r.doc_id])[0]
+
+
+def test_many_matches_in_one_text(spark):
+    """Thousands of matches of all kinds cost steps in proportion, and added spans keep off the base ones."""
+    rng = random.Random(4)
+    make = [lambda: f"{rng.getrandbits(96):024x}", lambda: "token=" + base64.b64encode(rng.randbytes(24)).decode(), lambda: base64.b64encode(rng.randbytes(30)).decode(), lambda: "plain words", lambda: f"/{base64.b64encode(rng.randbytes(18)).decode()}"]
+    text = " ".join(rng.choice(make)() for _ in range(12_000))
+    docs = documents(spark, [(1, text, "s"), (2, f"{rng.getrandbits(64):016x}", "s")])
+    got = {r.doc_id: r for r in scanned(spark, docs)}
+    want, listed = slow(text)
+    assert (got[1].n0, got[1].n1, got[1].n2, got[1].h) == want
+    base = [tuple(map(int, x.split(":")[1:])) for x in listed.split(",")]
+    more = [tuple(map(int, x.split(":")[1:])) for x in got[1].all.split(",") if x.startswith("markov")]
+    covered = bytearray(len(text) + 1)
+    for a, b in base:
+        covered[a:b] = b"\1" * (b - a)
+    assert more and not any(any(covered[a:b]) for a, b in more)
+    candidates = {m.span() for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", text)}
+    free = {(a, b) for a, b in candidates if not any(covered[a:b])}
+    assert set(more) <= free and len(more) > 0.9 * len(free)

@@ -200,3 +200,37 @@ def test_edges(spark):
 def test_similarity():
     assert simhash.jaccard("a b c d e f", "A b c d e f") == 1 and simhash.jaccard("a b", "a b c") == 0 and simhash.jaccard("", " ") == 1
     assert simhash.jaccard("a b c d e f", "a b c d e g") == pytest.approx(1 / 3)
+
+
+def test_table_against_all_pairs(spark):
+    """The documents of a table: every pair that shares four fifths of its shingles, or differs in three bits, by looking at all pairs."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    ids = sorted(texts)
+    fps = np.array([simhash.fingerprint(texts[i]) for i in ids], np.uint64)
+    sets, where = {}, {}
+    for i in ids:
+        w = texts[i].encode().translate(simhash._LOWER).split()
+        sets[i] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))}
+        for s in sets[i]:
+            where.setdefault(s, []).append(i)
+    root = {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x, i in enumerate(ids):
+        common = {}
+        for s in sets[i]:
+            for j in where[s]:
+                common[j] = common.get(j, 0) + 1
+        near = {ids[y] for y in np.flatnonzero(np.bitwise_count(fps ^ fps[x]) <= 3).tolist()}
+        near |= {j for j, c in common.items() if c >= 0.8 * (len(sets[i]) + len(sets[j]) - c)}
+        for j in near:
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+    got = {r.doc_id for r in simhash.keep_one(docs).collect()}
+    want = {i for i in ids if find(i) == i}
+    assert got == want and len(want) < len(ids)

@@ -383,23 +383,24 @@ def _walk(data: bytes, stream: Stream) -> list[tuple[int, int]]:
     return out
 
 
-def _find(data: bytes, stream: Stream) -> list[tuple[int, int]]:
-    """As _walk, by searching for the headers; residuals that look like one make the frame's end disagree."""
+def _sought(data: bytes, stream: Stream) -> list[tuple[int, int]]:
+    """As _walk, from the seek table; between its points by searching for the headers, where residuals that look like one make the frame's end disagree."""
+    known = {s // BLOCK: stream.first + b for s, b in stream.seek}
     out, at = [], stream.first
     for i in range(stream.total // BLOCK):
         head = _header(i)
-        at = data.find(head, at)
-        if at < 0 or not i and at != stream.first:
+        at = known[i] if i in known else data.find(head, at)
+        if at < 0 or data[at : at + len(head)] != head or not i and at != stream.first:
             raise FlacError(f"frame {i} is missing")
         out.append((at, len(head)))
         at += len(head)
     return out
 
 
-def decode_streams(files: list[bytes], find=_find) -> list[bytes]:
+def decode_streams(files: list[bytes], find=_sought) -> list[bytes]:
     """Payloads (unsigned 8-bit PCM) of FLAC files; raises FlacError if a frame's checksum or the whole MD5 disagrees.
 
-    The frames of all files are decoded in step. Should an end not meet the next header, the file is walked frame by frame.
+    The seek tables tell where frames start, and those of all files are decoded in step. Should an end not meet the next header, the file is walked frame by frame.
     """
     spots: list[tuple[int, int, int]] = []
     counts, base, streams = [], 0, []
@@ -422,7 +423,7 @@ def decode_streams(files: list[bytes], find=_find) -> list[bytes]:
         samples.append(x.astype(np.int8))
         stop = (end + 7) // 8 + first
         if (stop + 2 != part[:, 2]).any():
-            if find is _find:
+            if find is not _walk:
                 return [decode_streams([data], _walk)[0] for data in files]
             raise FlacError("a frame does not end where the next one starts")
         want = whole[stop].astype(np.uint32) << np.uint32(8) | whole[stop + 1]
@@ -540,6 +541,27 @@ def media_digests(media: DataFrame) -> DataFrame:
     return media.select("doc_id", "n_bytes", "media").mapInArrow(_decoded, _READ)
 
 
+_BLOCKS = "doc_id long, sample long, byte long, pcm binary"
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for name, data in zip(column(batch, "doc_id").to_pylist(), column(batch, "media").to_pylist(), strict=True):
+            pcm, starts = decode_streams([data])[0], [at for at, _ in _sought(data, Stream(data))]
+            sample = np.arange(0, len(pcm), BLOCK)
+            for at in range(0, len(starts), FRAMES):
+                part = slice(at, at + FRAMES)
+                blocks = pa.array([pcm[x : x + BLOCK] for x in sample[part].tolist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(blocks), pa.int64()), pa.array(sample[part]), pa.array(starts[part], pa.int64()), blocks], [x.split()[0] for x in _BLOCKS.split(", ")])
+
+
+def pcm_blocks(media: DataFrame) -> DataFrame:
+    """(doc_id, sample, byte, pcm) of every frame of media from encode_media: a block of unsigned 8-bit samples, the number of
+    its first sample, and the place in the file where a reader that seeks it starts."""
+    small_batches(media.sparkSession)
+    return media.select("doc_id", "media").mapInArrow(_unpacked, _BLOCKS)
+
+
 def op3_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract 3: every text as FLAC and back."""
     return media_digests(encode_media(spark.read.parquet(f"{sf_dir}/documents.parquet")))

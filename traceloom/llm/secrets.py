@@ -14,8 +14,8 @@ BASE = (
     ("hex", r"(?<![0-9a-f])[0-9a-f]{16,}", 16, 0, r"[0-9a-f]{16}"),
 )
 _CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
-#: Prefix sums go over blocks of so many matches, as an array grows by copying.
-_RUN = 256
+#: Running totals go over blocks of so many matches, and over blocks of the blocks' totals, as an array grows by copying.
+_RUN = 128
 #: Mean log-likelihood ratio of a transition, in nats, from which a candidate counts as random.
 THRESHOLD = 0.9
 #: Labelled samples the models are trained on: this many random strings and identifiers.
@@ -75,22 +75,35 @@ def _let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
-def _starts(pieces: Column, found: Column) -> Column:
-    """Start of each match, from the lengths of what split() leaves between matches and of the matches."""
-    steps = F.transform(found, lambda m, i: F.char_length(F.get(pieces, i)) + F.when(i > 0, F.char_length(F.get(found, i - 1))).otherwise(0))
+def _running(values: Column, zero: Column, join: Callable[[Column, Column], Column], depth: int = 1) -> Column:
+    """The totals of an array up to each place, itself included, under an associative join.
+
+    Inside blocks of _RUN values each place sums its block up to it; what stands before a block is a running total of the
+    blocks' totals, made alike. So a place costs some steps, however long the array is.
+    """
 
-    def total(part: Column) -> Column:
-        return F.aggregate(part, F.lit(0), lambda a, x: a + x)
+    def fold(part: Column) -> Column:
+        return F.aggregate(part, zero, join)
 
-    def sums(own: Column, base: Column) -> Column:
-        return F.transform(own, lambda _, i: base + total(F.slice(own, F.lit(1), i + 1)))
+    def inside(own: Column, base: Column) -> Column:
+        return F.transform(own, lambda _, i: join(base, fold(F.slice(own, F.lit(1), i + 1))))
 
-    def all_blocks(st: Column) -> Column:
-        blocks = F.sequence(F.lit(0), F.floor((F.size(st) - 1) / _RUN).cast("int"))
-        bound = F.transform(blocks, lambda b: F.struct(F.slice(st, b * _RUN + 1, F.lit(_RUN)).alias("own"), total(F.slice(st, F.lit(1), b * _RUN)).alias("base")))
-        return F.flatten(F.transform(bound, lambda b: sums(b["own"], b["base"])))
+    if not depth:
+        return inside(values, zero)
 
-    return _let(steps, all_blocks)
+    def spread(blocks: Column) -> Column:
+        before = _running(F.transform(blocks, fold), zero, join, depth - 1)
+        return _let(before, lambda t: F.flatten(F.transform(blocks, lambda own, b: inside(own, F.when(b > 0, F.get(t, b - 1)).otherwise(zero)))))
+
+    last = F.floor((F.size(values) - 1) / _RUN).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda b: F.slice(values, b * _RUN + 1, F.lit(_RUN)))
+    return _let(cut, spread)
+
+
+def _starts(pieces: Column, found: Column) -> Column:
+    """Start of each match, from the lengths of what split() leaves between matches and of the matches."""
+    steps = F.transform(found, lambda m, i: F.char_length(F.get(pieces, i)) + F.when(i > 0, F.char_length(F.get(found, i - 1))).otherwise(0))
+    return _let(steps, lambda st: _running(st, F.lit(0), lambda a, x: a + x))
 
 
 _SPAN = "array<struct<start:int,kind:int,end:int,score:double>>"
@@ -126,13 +139,31 @@ def _score(word: Column, table: Column) -> Column:
     return F.aggregate(place, start, step, lambda a: a["sum"] / (F.lit(100.0) * (F.char_length(word) - 1)))
 
 
+def _free(spans: Column, base: Column) -> Column:
+    """The spans that touch none of the base spans: all are put in one order, and each span is held against the furthest end
+    before it and the next start after it."""
+    marked = F.array_sort(F.concat(F.transform(base, lambda x: F.struct(x.alias("x"), F.lit(True).alias("base"))), F.transform(spans, lambda x: F.struct(x.alias("x"), F.lit(False).alias("base")))))
+
+    def apart(rows: Column) -> Column:
+        ends = _running(F.transform(rows, lambda r: F.when(r["base"], r["x"]["end"]).otherwise(-1)), F.lit(-1), lambda a, x: F.greatest(a, x))
+        starts = _running(F.reverse(F.transform(rows, lambda r: F.when(r["base"], r["x"]["start"]).otherwise(_FAR))), F.lit(_FAR), lambda a, x: F.least(a, x))
+        joined = F.arrays_zip(rows.alias("r"), ends.alias("before"), F.reverse(starts).alias("after"))
+        kept = F.filter(joined, lambda j: ~j["r"]["base"] & (j["before"] <= j["r"]["x"]["start"]) & (j["after"] >= j["r"]["x"]["end"]))
+        return F.transform(kept, lambda j: j["r"]["x"])
+
+    return F.when((F.size(base) == 0) | (F.size(spans) == 0), spans).otherwise(_let(marked, apart))
+
+
+_FAR = (1 << 31) - 1
+
+
 def _random_spans(text: Column, base: Column, table: Column, threshold: float) -> Column:
     def spans(b: Column) -> Column:
         both = F.zip_with(_starts(b["pieces"], b["found"]), b["found"], lambda s, w: F.struct(s.alias("s"), w.alias("w")))
         likely = F.filter(both, lambda x: x["w"].rlike("[0-9]") & x["w"].rlike("[A-Za-z]"))
         scored = F.transform(likely, lambda x: _span(x["s"], len(BASE), x["w"], _score(x["w"], table)))
-        free = F.filter(scored, lambda x: (x["score"] > threshold) & ~F.exists(base, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
-        return F.when(F.size(b["found"]) > 0, free.cast(_SPAN)).otherwise(_none())
+        random_ = F.filter(scored, lambda x: x["score"] > threshold).cast(_SPAN)
+        return F.when(F.size(b["found"]) > 0, _let(random_, lambda r: _free(r, base))).otherwise(_none())
 
     parts = F.struct(F.split(text, _CANDIDATE, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(_CANDIDATE), F.lit(0)).alias("found"))
     return F.when(text.rlike(r"[A-Za-z0-9+/_=-]{20}"), _let(parts, spans)).otherwise(_none())

@@ -12,7 +12,7 @@ from .common import column, components, connected, durable, small_batches, texts
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Fingerprints at home in one shard, about; sampled fingerprints that decide the tree, for each shard and at most.
-SHARD, LEAST_SHARDS, SAMPLED, MOST_SAMPLED = 8192, 16, 32, 1 << 17
+SHARD, LEAST_SHARDS, SAMPLED, MOST_SAMPLED = 8192, 16, 32, 1 << 20
 BLOCK = 32
 #: One in SHARE texts tells which shingles are frequent, LISTED of them at most; those that HOT of these texts have are dealt
 #: over blocks, each of the texts of as many of these; names of texts that are broadcast, at most.
