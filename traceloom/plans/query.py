@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import Catalog
+from ..functions.stable import fixed
 from ..operators import quality, sets, statistics, views
 from ..operators.core import AlleleFilter, allele_frame
 from ..sources import exports
@@ -96,9 +97,9 @@ class Query:
 
 
 def allele_report(summary: DataFrame) -> DataFrame:
-    """(label, marker_id, value, line): one text line an allele."""
+    """(label, marker_id, value, line): one text line an allele; numbers are rounded with ties up."""
     flag = F.when(F.col("isolated"), "").otherwise("*")
-    return summary.select("label", "marker_id", "value", F.format_string("%3d\t%5.3f\t%3d\t%7.1f\t%6.2f - %6.2f (%5.2f)\t%s", F.col("value").cast("long"), "freq", F.col("n").cast("long"), "mean_height", "min_size", "max_size", "delta", flag).alias("line"))
+    return summary.select("label", "marker_id", "value", F.format_string("%3d\t%5.3f\t%3d\t%7.1f\t%6.2f - %6.2f (%5.2f)\t%s", F.col("value").cast("long"), fixed(F.col("freq"), 3), F.col("n").cast("long"), fixed(F.col("mean_height"), 1), fixed(F.col("min_size"), 2), fixed(F.col("max_size"), 2), fixed(F.col("delta"), 2), flag).alias("line"))
 
 
 def sample_report(totals: DataFrame) -> DataFrame:

@@ -78,7 +78,20 @@ def bin_optimise(spark, d):
     return ops.optimise_bins(catalog.alleles(spark, d), _bins(spark), repeats)
 
 
-@query()
+def _refined(rounds: int) -> str:
+    """Bins after each round as tables b0, b1, ..."""
+    sql = f"WITH {catalog.SQL}, {_BINS.replace('b AS', 'b0 AS', 1)}"
+    for k in range(rounds):
+        sql += f""",
+x{k} AS (SELECT *, lead(bin) OVER w AS rbin, lead(p25) OVER w AS rp25 FROM b{k} WINDOW w AS (PARTITION BY marker_id ORDER BY mean)),
+a{k} AS (SELECT a.marker_id, a.size, x.bin AS lbin, x.p75, x.rbin, x.rp25 FROM alleles a ASOF LEFT JOIN x{k} x ON a.marker_id = x.marker_id AND a.size >= x.mean),
+n{k} AS (SELECT marker_id, size, CASE WHEN lbin IS NULL THEN 1 WHEN rbin IS NULL OR size - p75 < rp25 - size THEN lbin ELSE rbin END AS bin FROM a{k}),
+q{k} AS (SELECT marker_id, bin, round_even(avg(size), 3) AS m, round_even(quantile_cont(size, 0.25), 3) AS l, round_even(quantile_cont(size, 0.75), 3) AS h FROM n{k} GROUP BY ALL),
+b{k + 1} AS (SELECT b.marker_id, b.bin, coalesce(m, b.mean) AS mean, coalesce(l, b.p25) AS p25, coalesce(h, b.p75) AS p75 FROM b{k} b LEFT JOIN q{k} q USING (marker_id, bin))"""
+    return f"{sql} SELECT marker_id, bin, mean, p25, p75 FROM b{rounds}"
+
+
+@query(_refined(3))
 def bin_refine_rounds(spark, d):
     return ops.refine_bins(catalog.alleles(spark, d), _bins(spark), 3)
 

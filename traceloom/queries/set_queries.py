@@ -6,7 +6,7 @@ from ..catalog import MARKERS, catalog as tables
 from ..operators import quality, sets
 from ..operators.core import AlleleFilter
 from ..plans.query import Query, allele_report, sample_report
-from .base import WIDE, core, frame, query
+from .base import WIDE, core, fixed, frame, query
 
 _S = f"WITH {catalog.SQL} "
 
@@ -78,13 +78,6 @@ def genotyped_distribution(spark, d):
     return quality.sample_quality(frame(spark, d), len(MARKERS), 0.0).groupBy("label", "genotyped").agg(F.count("*").alias("samples"))
 
 
-@query()
-def text_reports(spark, d):
-    own = built(spark, d)
-    alleles = allele_report(own.allele_summary()).select(F.col("label"), "line")
-    return sample_report(sets.set_totals(own.filtered_sample_sets)).unionByName(alleles)
-
-
 def _good(also: str, params: AlleleFilter = _LEAN) -> str:
     return core(params) + f", {_GENOTYPED} SELECT label, sample_id FROM q WHERE genotyped >= 7 * 0.5 AND (label, sample_id) IN ({also})"
 
@@ -152,3 +145,18 @@ def sample_summary(spark, d):
 def haplotype_sets(spark, d):
     return built(spark, d).haplotypes.groupBy("label").agg(F.count("*").alias("samples"))
 
+
+_NUMBERS = ", ".join(("value", fixed("freq", 3), "n", fixed("mh", 1), fixed("low", 2), fixed("high", 2), fixed("high - low", 2)))
+
+
+@query(
+    _PIPE
+    + f""", s AS (SELECT label, marker_id, value, count(*)::BIGINT AS n, avg(height) AS mh, min(size) AS low, max(size) AS high FROM final GROUP BY ALL),
+p AS (SELECT *, n / (sum(n) OVER (PARTITION BY label, marker_id))::DOUBLE AS freq, value - lag(value) OVER w AS l, lead(value) OVER w - value AS r FROM s WINDOW w AS (PARTITION BY label, marker_id ORDER BY value))
+SELECT label, printf('%3d\t%5.3f\t%3d\t%7.1f\t%6.2f - %6.2f (%5.2f)\t%s', {_NUMBERS}, CASE WHEN r IS NULL OR NOT (coalesce(l, 2) <= 1 OR r <= 1) THEN '' ELSE '*' END) AS line FROM p
+UNION ALL SELECT label, printf('%s\t%d', label, count(*)) FROM good GROUP BY label"""
+)
+def text_reports(spark, d):
+    own = built(spark, d)
+    alleles = allele_report(own.allele_summary()).select(F.col("label"), "line")
+    return sample_report(sets.set_totals(own.filtered_sample_sets)).unionByName(alleles)
