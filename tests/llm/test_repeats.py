@@ -24,8 +24,8 @@ def slow(texts, least):
     return out
 
 
-def check(spark, rows, least=200):
-    got = repeats.remove_repeats(documents(spark, rows), least).collect()
+def check(spark, rows, least=200, **how):
+    got = repeats.remove_repeats(documents(spark, rows), least, **how).collect()
     want = [(d, *x) for (d, _, _), x in zip(rows, slow([t for _, t, _ in rows], least), strict=True)]
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
 
@@ -83,11 +83,10 @@ def test_many_variants_of_one_anchor(spark, monkeypatch):
     check(spark, rows)
 
 
-def test_windows_across_scans(spark, monkeypatch):
-    monkeypatch.setattr(repeats, "SCAN", 2048)
+def test_windows_across_scans(spark):
     r = rng(6)
     core = words(r, 60)
-    check(spark, [(1, words(r, 900) + core + words(r, 700), "s"), (2, words(r, 100) + core, "s")])
+    check(spark, [(1, words(r, 900) + core + words(r, 700), "s"), (2, words(r, 100) + core, "s"), (3, "x" * 9000, "s")], scan=2048)
 
 
 @pytest.mark.parametrize("seed", range(6))

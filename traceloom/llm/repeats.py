@@ -102,9 +102,9 @@ def _longs(digests: list[bytes]) -> tuple[pa.Array, pa.Array]:
 _RUN = "h long, ctx long, more long, d long, k long, first long, span int"
 
 
-def _scanned(least: int, whole: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scanned(least: int, whole: bool, scan: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Anchors of all runs; if whole, with a digest of the context and the place of each."""
-    step = SCAN - least
+    step = scan - least
 
     def flush(pieces: list[bytes], where: list[tuple[int, int, int]]) -> pa.RecordBatch:
         piece, first, span, h = anchors(pieces, least)
@@ -122,10 +122,10 @@ def _scanned(least: int, whole: bool, batches: Iterator[pa.RecordBatch]) -> Iter
         for d, k, text in zip(column(batch, "d").to_pylist(), column(batch, "k").to_pylist(), texts(batch), strict=True):
             raw = text.encode()
             for at in range(0, max(1, len(raw) - least + 1), step):
-                part = raw[at : at + SCAN - 1] if len(raw) > SCAN - 1 else raw
+                part = raw[at : at + scan - 1] if len(raw) > scan - 1 else raw
                 if len(part) < least:
                     continue
-                if size + len(part) > SCAN:
+                if size + len(part) > scan:
                     yield flush(pieces, where)
                     pieces, where, size = [], [], 0
                 pieces.append(part)
@@ -317,15 +317,15 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), F.xxhash64("text", F.col("doc_id").isNull()).alias("k"))
 
 
-def _contexts(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _contexts(docs: DataFrame, least: int, scan: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Runs whose whole context repeats (d, k, first, span); contexts that vary at their anchor, in few and in many variants."""
     spark = docs.sparkSession
     keyed = _keyed(docs)
     small_batches(spark)
     whole_texts = keyed.select("d", "k", "text")
-    again = durable(whole_texts.mapInArrow(partial(_scanned, least, False), "h long").groupBy("h").count().where("count > 1").select("h"))
+    again = durable(whole_texts.mapInArrow(partial(_scanned, least, False, scan), "h long").groupBy("h").count().where("count > 1").select("h"))
     # both sides are plain exchanges, so an anchor that a third of all runs share is split over tasks
-    some = durable(whole_texts.mapInArrow(partial(_scanned, least, True), _RUN).join(again, "h", "left_semi"))
+    some = durable(whole_texts.mapInArrow(partial(_scanned, least, True, scan), _RUN).join(again, "h", "left_semi"))
     spot = F.struct("d", "k", "first", "span")
     kinds = durable(some.groupBy("h", "ctx", "more").agg(F.count("*").alias("n"), F.min(spot).alias("spot")))
     whole = some.join(kinds.where("n > 1").select("h", "ctx", "more"), ["h", "ctx", "more"], "left_semi").select("d", "k", "first", "span")
@@ -342,7 +342,7 @@ def _contexts(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFr
     return whole, cut[0], cut[1]
 
 
-def repeated_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
+def repeated_spans(docs: DataFrame, least: int = LEAST, scan: int = SCAN) -> DataFrame:
     """(d, k, a, b): bytes of texts covered by strings of `least` bytes that start at two places or more; spans may overlap.
 
     d and k name a row as _keyed does. Equal windows share an anchor. Where a run's whole context repeats (by a 128-bit
@@ -351,7 +351,7 @@ def repeated_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
     anchor that has more than VARIANTS are dealt over tasks: their windows meet by the same kind of digest, are counted and
     never gathered. Both ways cover the same bytes.
     """
-    whole, few, many = _contexts(docs, least)
+    whole, few, many = _contexts(docs, least, scan)
     small_batches(docs.sparkSession)
     told = few.repartition("h").sortWithinPartitions("h").mapInArrow(partial(_told_apart, least), _COVER)
     windows = many.mapInArrow(partial(_windows, least), "w1 long, w2 long, d long, k long, a long, only boolean")
@@ -376,13 +376,13 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def remove_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
+def remove_repeats(docs: DataFrame, least: int = LEAST, scan: int = SCAN) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs.
 
     Null texts are empty; texts shorter than `least` lose nothing; repeated rows are places of their own, so they lose all of a
-    text long enough; null ids are rows like others; an empty table gives no rows.
+    text long enough; null ids are rows like others; an empty table gives no rows. scan bounds the bytes that a task looks at together.
     """
-    spans = durable(repeated_spans(docs, least)).groupBy("d", "k").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    spans = durable(repeated_spans(docs, least, scan)).groupBy("d", "k").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     small_batches(docs.sparkSession)
     packed = _keyed(docs).mapInArrow(_packed, "d long, k long, doc_id long, z binary")
     return packed.join(spans, ["d", "k"], "left").select("doc_id", "z", "spans").mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
