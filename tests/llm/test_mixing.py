@@ -56,3 +56,13 @@ def test_documents_come_as_often_as_taken(spark):
     want = sum(r.taken // r.size for r in mixing.mix_sources(docs).collect() if r.size)
     got = mixing.mixed_documents(docs)
     assert got.columns == docs.columns and got.count() == want
+
+
+def test_table_is_near_its_targets(spark):
+    """Each source comes within a thousandth of its target, and longer documents of a source come more often."""
+    out = mixing.op2_source_mixing(spark, "/root/testdata/sf0.1").cache()
+    for r in out.groupBy("source_size", "target").agg(F.sum("taken").alias("taken")).collect():
+        assert r.target * 0.999 <= r.taken <= r.target
+    part = out.where("size > 0 and target > 1.2 * source_size and target < 1.8 * source_size").withColumn("long", F.col("size") >= 256)
+    mean = {r.long: r.m for r in part.groupBy("long").agg(F.avg(F.col("taken") / F.col("size")).alias("m")).collect()}
+    assert not mean or mean[True] > mean[False]

@@ -6,8 +6,8 @@ from .common import WORD, durable, new_path
 
 #: Buckets of the rank at each level of the search for a source's threshold.
 BUCKETS = 4096
-#: Documents that fill what the sample leaves open in a source, one after another by rank.
-FILLS = 4
+#: Documents that fill what the sample leaves open in a source, one after another.
+FILLS = 6
 #: A document's inclusion odds grow with the binary digits of its size, from TILT for an empty one.
 TILT = 8
 #: Rows of a table of sources or of picked documents up to which a join broadcasts it, at some 100 bytes a row.
@@ -80,8 +80,8 @@ def mix_sources(docs: DataFrame, most: float = 3.0, seed: str = "mix") -> DataFr
     documents rank by u / (1 - u) over p / (1 - p), p being the other part, and enter in that order while the words they
     bring stay within the target. The threshold is found from sums over buckets of the rank, refined once, so no source is
     sorted or gathered in one task; only documents of one fine bucket are put in order. What the document at the threshold
-    leaves open is filled by the next one by rank that fits, FILLS times; what is still open then is less than the smallest
-    document left, or than a small part of one document.
+    leaves open is filled by the first by rank of those that fill at least half of it, or if there is none by the first that
+    fits, FILLS times; what is still open then is less than the smallest document left, or than a small part of one document.
     u comes from doc_id and size, so reruns agree. Null and empty texts have size 0 and take nothing; null is a source of its
     own, the last; repeated rows count each; an empty table gives no rows; other columns are ignored.
     """
@@ -139,8 +139,9 @@ def _copies(rows: DataFrame, most: float, seed: str) -> DataFrame:
     for _ in range(FILLS):
         gaps = durable(gaps)
         fits = marked.where("v is not null and not below").join(_small(gaps), "src").where("size <= gap and size > 0").join(_small(extra.select("row")), "row", "left_anti")
-        best = fits.groupBy("src").agg(F.min("v").alias("v"))
-        fill = fits.select("src", "v", "doc_id", "row", "size").join(_small(durable(best)), ["src", "v"]).groupBy("src").agg(F.min(F.struct("doc_id", "row", "size")).alias("m")).select("src", "m.row", "m.size")
+        fits = fits.select("src", (F.col("v") + F.when(F.col("size") * 2 <= F.col("gap"), 1).otherwise(0)).alias("late"), "doc_id", "row", "size")
+        best = fits.groupBy("src").agg(F.min("late").alias("late"))
+        fill = fits.join(_small(durable(best)), ["src", "late"]).groupBy("src").agg(F.min(F.struct("doc_id", "row", "size")).alias("m")).select("src", "m.row", "m.size")
         fill = durable(fill.select("row", "src", "size"))
         extra = durable(extra.unionByName(fill))
         gaps = gaps.join(fill.select("src", F.col("size").alias("filled")), "src", "left").select("src", (F.col("gap") - F.coalesce("filled", F.lit(0))).alias("gap"))
@@ -155,7 +156,7 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _FILL = """
 g{k} AS (SELECT src, any_value(need) - sum(CASE WHEN more = 1 THEN size ELSE 0 END) AS gap FROM r{k} GROUP BY src),
-b{k} AS (SELECT doc_id FROM (SELECT r.doc_id, row_number() OVER (PARTITION BY r.src ORDER BY r.v, r.doc_id) AS k
+b{k} AS (SELECT doc_id FROM (SELECT r.doc_id, row_number() OVER (PARTITION BY r.src ORDER BY r.v + CASE WHEN r.size * 2 <= g.gap THEN 1 ELSE 0 END, r.doc_id) AS k
   FROM r{k} r JOIN g{k} g ON r.src = g.src WHERE r.more = 0 AND r.size > 0 AND r.v IS NOT NULL AND r.size <= g.gap) WHERE k = 1),
 r{n} AS (SELECT * REPLACE (CASE WHEN doc_id IN (SELECT doc_id FROM b{k}) THEN 1 ELSE more END AS more) FROM r{k})"""
 
