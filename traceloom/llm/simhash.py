@@ -168,7 +168,7 @@ def hamming_links(points: DataFrame, radius: int = 3) -> DataFrame:
     share = min(1.0, 1.5 * wanted / max(n, 1))
     bound = int(share * (1 << 31)) - 1
     picked = distinct.where((F.xxhash64(F.lit("tree"), "fp").bitwiseAND(F.lit((1 << 31) - 1))) <= bound).limit(2 * wanted)
-    sample = np.array([r.fp for r in picked.collect()], np.int64).view(np.uint64)
+    sample = picked.toArrow().column("fp").to_numpy().astype(np.int64).view(np.uint64)
     tree = VantageTree(sample, max(BLOCK, len(sample) // shards))
     routed = distinct.mapInArrow(partial(_routed, tree, radius), "shard int, fp long, home boolean")
 
