@@ -1,5 +1,6 @@
 """Each stage on what the one before kept, and the order of the stages."""
 import corpus_pipeline
+import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import documents
@@ -40,9 +41,14 @@ def test_stages(spark):
     assert whole.where("piece = 0").count() == seen["mixing"].count()
 
 
-def test_odd_rows_pass_all_stages(spark, tmp_path):
-    docs = documents(spark, clash=False)
+@pytest.mark.parametrize("clash", [False, True])
+def test_odd_rows_pass_all_stages(spark, tmp_path, clash):
+    docs = documents(spark, clash=clash)
     folder = str(tmp_path)
+    before = spark.createDataFrame(docs.collect(), docs.schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, before, folder) if name != "quality" else before
+        assert after.columns == docs.columns and {r.doc_id for r in after.select("doc_id").collect()} <= {r.doc_id for r in docs.select("doc_id").collect()}
     docs.write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(4, 1, 0), (9, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     out = corpus_pipeline.run(spark, folder)
