@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from traceloom.constants import LADDERS
 from traceloom.functions import linear, ranktests, text
-from traceloom.operators import bins, channels, peaks, sizing
+from traceloom.operators import bins, channels, distance, peaks, sizing
 from traceloom.signals import ladder, trace
 from traceloom.sources import abif, manifests
 
@@ -265,3 +265,32 @@ def test_tophat_is_between_zero_and_the_trace(values):
     y = np.array(values)
     top = trace.white_tophat(y, 7)
     assert (top >= -1e-9).all() and (top <= y + 1e-9).all()
+
+
+def test_counted_rows_are_like_repeated_ones():
+    rng = np.random.default_rng(3)
+    g = rng.integers(0, 4, (12, 5)).astype(float)
+    g = np.unique(g, axis=0)
+    n = rng.integers(1, 5, len(g))
+    at = np.repeat(np.arange(len(g)), n)
+    m = distance._differences(g)
+    assert np.allclose(linear.principal_components(m, 2, n, n)[at], linear.principal_components(m[np.ix_(at, at)], 2))
+    one_hot = linear.indicators(g)
+    assert np.allclose(linear.principal_components(one_hot, 2, n)[at], linear.principal_components(one_hot[at], 2))
+    assert np.allclose(linear.correspondence(g, 2, n)[at], linear.correspondence(g[at], 2))
+
+
+def test_pictures_of_samples_that_share_genotypes(spark):
+    rows = [(i, "a" if i % 2 else "b", [float(i % 4), float(i % 3), 1.0]) for i in range(30)]
+    own = spark.createDataFrame(rows, "sample_id long, label string, genotype array<double>")
+    for out in (distance.pcoa(own), distance.mca(own), distance.one_hot_components(own)):
+        got = {r.sample_id: tuple(r)[1:] for r in out.collect()}
+        assert len(got) == 30 and all(got[i][1:] == got[i + 12][1:] for i in range(18)) and len({g[1:] for g in got.values()}) == 12
+    moved = distance.pcoa(own, jitter=0.1).collect()
+    assert len({tuple(r)[2:] for r in moved}) == 30
+    tree = distance.neighbour_tree(own).collect()
+    assert sorted(r.sample_id for r in tree if r.sample_id is not None) == list(range(30))
+    children = [r.child for r in tree]
+    assert len(set(children)) == len(children) and len({r.parent for r in tree} - set(children)) == 1
+    with pytest.raises(ValueError):
+        distance.mca(own, most=11)
