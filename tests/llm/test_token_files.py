@@ -92,5 +92,5 @@ def test_long_texts_of_different_words_and_a_small_cache(name, monkeypatch):
     texts += ["\n".join(" ".join(f"é{rng.randrange(99)}." for _ in range(9)) for _ in range(20)) for _ in range(5)]
     got = [x.tolist() for x in own.raw(pa.array(texts))]
     assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
-    entries = [*own.parts.items(), *own.parts.old.items()]
+    entries = [*own.parts.new.items(), *own.parts.old.items()]
     assert sum(tokens.ENTRY + len(k) + len(v) for k, v in entries) <= 2 * (4000 + tokens.ENTRY + 2000)

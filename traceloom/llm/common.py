@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows and bytes of one Arrow batch, at most; a batch of long texts has fewer rows.
-BATCH_ROWS, BATCH_BYTES = 2048, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 2048, 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import column, new_path, small_batches
+from .common import column, durable, new_path, small_batches
 from .tokens import encoder
 
 MAGIC = b"TLIDS\x00\x01\x00"
@@ -176,8 +176,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document in the shards; start counts all ids before it over all shards."""
     small_batches(spark)
     files = spark.read.schema("path string, modificationTime timestamp, length long, content binary").format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    # one exchange serves the totals and the documents, so each file is read once
-    rows = files.mapInArrow(_documents, _DOCS).repartition("partition", "number")
+    rows = durable(files.mapInArrow(_documents, _DOCS))  # each file is read once
     totals = rows.groupBy("partition", "number").agg(F.sum("doc.n_tokens").alias("n"))
 
     def earlier(*keys: str, by: list[str]) -> Column:

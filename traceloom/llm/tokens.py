@@ -15,10 +15,9 @@ import pyarrow.compute as pc
 #: worker keeps, and of an entry beside its key and its value.
 GROUP, KEPT_BYTES, ENTRY = 1 << 22, 32 << 20, 200
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
-#: Texts of which Python's character classes and the tokenizers' agree, and the start of every special token.
-_PLAIN, _SPECIAL = rf"\A[ \n!-~{_LETTER}]*\z", "<|"
-#: Texts whose white space is not one space, or one line feed, between two words.
-_WIDE = r"\A[ \n]|[ \n]\z|  | \n|\n |\A\z"
+#: Texts of which Python's character classes and the tokenizers' agree, those whose words are parted by one space or line feed
+#: each, and the start of every special token.
+_PLAIN, _EVEN, _SPECIAL = rf"\A[ \n!-~{_LETTER}]*\z", rf"\A[!-~{_LETTER}]+(?:[ \n][!-~{_LETTER}]+)*\z", "<|"
 #: A space that no pre-token of any of the known kinds reaches over from its left, and that no normaliser changes.
 _CUT = re.compile(r"(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
 #: Ends a word among joined ones; no plain text has it.
@@ -34,9 +33,9 @@ def _strings(array_: pa.Array) -> list[str]:
 
 def _laid_out(ids: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The runs of ids (of these sizes, one after another) in the order of which, and the end of each."""
-    first, size = np.cumsum(sizes) - sizes, sizes[which]
-    ends = np.cumsum(size)
-    return ids[np.repeat(first[which] - ends + size, size) + np.arange(size.sum())], ends
+    first, size = (np.cumsum(sizes) - sizes).astype(np.int32), sizes.astype(np.int32)[which]
+    ends = np.cumsum(size, dtype=np.int32)
+    return ids[np.repeat(first[which] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)], ends
 
 
 def _byte_letters() -> list[str]:
@@ -46,23 +45,24 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
 
 
-class Known(dict):
-    """Finds what it lacks, and forgets by bytes: a full generation becomes the old one, and what is used again comes back from there."""
+class Known:
+    """Ids of pre-tokens, forgotten by bytes: a full generation becomes the old one, and what is used again comes back from there."""
 
     def __init__(self, find: Callable[[str], bytes], most: int = KEPT_BYTES):
-        super().__init__()
-        self.find, self.most, self.room, self.old = find, most, most, {}
-
-    def __missing__(self, key: str) -> bytes:
-        out = self.old.get(key)
-        if out is None:
-            out = self.find(key) if key != _MARK else b""
-        self[key] = out
-        self.room -= ENTRY + len(key) + len(out)
-        if self.room < 0:
-            self.old = dict(self)
-            self.clear()
-            self.room = self.most
+        self.find, self.most, self.room, self.new, self.old = find, most, most, {}, {}
+
+    def of(self, keys: list[str]) -> list[bytes]:
+        out: list = [*map(self.new.get, keys)]
+        find = self.find
+        for i in [i for i, x in enumerate(out) if x is None]:
+            key = keys[i]
+            value = self.old.get(key)
+            if value is None:
+                value = find(key)
+            out[i] = self.new[key] = value
+            self.room -= ENTRY + len(key) + len(value)
+            if self.room < 0:
+                self.old, self.new, self.room = self.new, {}, self.most
         return out
 
 
@@ -87,7 +87,7 @@ class Encoder:
 
         kinds = json.load(open(path, encoding="utf-8"))
         self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.vocabulary = self.tokenizer.model, self.tokenizer.get_vocab_size()
+        self.vocabulary = self.tokenizer.get_vocab_size()
         self.parts = Known(self._part)
         pre, norm = kinds.get("pre_tokenizer") or {}, json.dumps(kinds.get("normalizer"))
         split = (pre.get("pretokenizers") or [{}])[0]
@@ -97,32 +97,36 @@ class Encoder:
         elif split.get("behavior") == "Removed" and split.get("pattern", {}).get("Regex", "").startswith("'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|") and "Lowercase" in norm and "NFC" in norm:
             self.kind = "word"
         self.letters = dict(enumerate(_byte_letters()))
+        self.space, self.tokenize = self.letters[32], self.tokenizer.model.tokenize
 
     def _library(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
     def _part(self, part: str) -> bytes:
+        if part == _MARK:
+            return b""
         # as the vocabulary writes bytes; printable ASCII stands for itself
-        shown = part.replace(" ", self.letters[32]) if part.isascii() and "\n" not in part else part.encode().decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        shown = part.replace(" ", self.space) if part.isascii() and "\n" not in part else part.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.tokenize(shown)]).tobytes()
 
     def _looked_up(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the parts of a text, and how many there are before each mark."""
         coded = pa.array(_WORD_PARTS.findall(text.lower()) if self.kind == "word" else _BYTE_PARTS.findall(text), pa.large_string()).dictionary_encode()
         which, different = coded.indices.to_numpy(), _strings(coded.dictionary)
-        found = [*map(self.parts.__getitem__, different)]
+        found = self.parts.of(different)
         ids, ends = _laid_out(np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) >> 2, which)
         return ids, ends[which == different.index(_MARK)] if _MARK in different else ends[:0]
 
     def _group(self, texts: pa.Array) -> list[np.ndarray]:
         """Words between spaces are told apart first, then the parts of different words, then ids are laid out in the texts' order."""
         out: list = [None] * len(texts)
-        plain, wide = (pc.match_substring_regex(texts, x).to_numpy(zero_copy_only=False) for x in (_PLAIN, _WIDE))
-        plain &= ~pc.match_substring(texts, _SPECIAL).to_numpy(zero_copy_only=False)
-        wide &= self.kind == "byte"
-        for i in np.flatnonzero(~plain | wide).tolist():
-            out[i] = self._looked_up(texts[i].as_py())[0] if plain[i] else self._library(texts[i].as_py())
-        same = np.flatnonzero(plain & ~wide)
+        apart = ~pc.match_substring_regex(texts, _PLAIN if self.kind == "word" else _EVEN).to_numpy(zero_copy_only=False)
+        special = pc.match_substring(texts, _SPECIAL).to_numpy(zero_copy_only=False)
+        for i in np.flatnonzero(apart | special).tolist():
+            one = texts.slice(i, 1)
+            plain = not special[i] and pc.match_substring_regex(one, _PLAIN)[0].as_py()
+            out[i] = self._looked_up(one[0].as_py())[0] if plain else self._library(one[0].as_py())
+        same = np.flatnonzero(~apart & ~special)
         if not len(same):
             return out
         split = pc.split_pattern(texts.take(pa.array(same)), " ")
