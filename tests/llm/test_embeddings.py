@@ -99,3 +99,13 @@ def test_steps_share_a_bucket_as_the_width_says():
     b -= (a * b).sum(axis=1, keepdims=True) * a
     b = 0.98 * a + (1 - 0.98**2) ** 0.5 * b / np.linalg.norm(b, axis=1, keepdims=True)
     assert (h.keys(a) == h.keys(b)).mean() == pytest.approx(0.84, abs=0.02)
+
+
+def test_columns_with_names_used_inside(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(9)
+    rows = [(i, _near(rng, np.ones(16), 0.05 if i % 2 else 2.0), i % 2) for i in range(40)]
+    docs = spark.createDataFrame(rows, _SCHEMA).withColumns({c: F.lit("x") for c in ("cid", "n", "t", "bucket", "k1", "fine", "kept", "links", "dim", "root")})
+    got = embeddings.link_embeddings(docs)
+    assert got.columns == ["vec_id", "n_links", "component_id", "kept"] and sorted(map(tuple, got.collect())) == slow(rows)

@@ -1,6 +1,7 @@
 """Helpers shared by the corpus operators: durable cuts of lineage, Arrow maps, connected components."""
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -41,6 +42,12 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let shuffle files of finished plans go now: Spark drops them when the driver collects its garbage, which may be much later."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound this session's Arrow batches; every operator sets the same bounds, so a lazy result runs under them whenever it runs."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

@@ -4,11 +4,12 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import column, components, connected, durable, small_batches, texts
+from .common import column, components, connected, durable, release, small_batches, texts
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Fingerprints at home in one shard, about; sampled fingerprints that decide the tree, for each shard and at most.
@@ -214,9 +215,18 @@ def jaccard(a: str, b: str, words: int = 5) -> float:
     return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
 
 
+def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as fewer bytes, for the exchanges that bring pairs together."""
+    squeeze = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([column(batch, "k"), pa.array([squeeze.compress(x.encode()) for x in texts(batch)], pa.binary())], ["k", "z"])
+
+
 def _verified(least: float, words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    open_ = zstandard.ZstdDecompressor()
     for batch in batches:
-        keep = np.array([jaccard(x, y, words) >= least for x, y in zip(texts(batch, "text_a"), texts(batch, "text_b"), strict=True)], bool)
+        sides = zip(*(column(batch, c).to_pylist() for c in ("z_a", "z_b")), strict=True)
+        keep = np.array([jaccard(open_.decompress(x).decode(), open_.decompress(y).decode(), words) >= least for x, y in sides], bool)
         yield pa.RecordBatch.from_arrays([column(batch, c).filter(pa.array(keep)) for c in ("a", "b")], ["a", "b"])
 
 
@@ -378,8 +388,9 @@ def _links(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, least: float, wo
     named = durable(nodes.join(wanted, "k", "left_semi").select("k", F.coalesce("best.doc_id", F.lit(_NO_ID)).alias("d")))
     if named.count() <= NAMED:
         named = F.broadcast(named)
-    few = durable(rows.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("d"), "k", "text").join(named, ["d", "k"], "left_semi").select("k", "text").dropDuplicates(["k"]))
-    both = pairs.join(few.select(F.col("k").alias("a"), F.col("text").alias("text_a")), "a").join(few.select(F.col("k").alias("b"), F.col("text").alias("text_b")), "b")
+    wanted = rows.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("d"), "k", "text").join(named, ["d", "k"], "left_semi").select("k", "text")
+    few = durable(wanted.mapInArrow(_squeezed, "k long, z binary").dropDuplicates(["k"]))
+    both = pairs.join(few.select(F.col("k").alias("a"), F.col("z").alias("z_a")), "a").join(few.select(F.col("k").alias("b"), F.col("z").alias("z_b")), "b")
     return both.mapInArrow(partial(_verified, least, words), "a long, b long")
 
 
@@ -406,9 +417,12 @@ def near_groups(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int
     of = lambda side: named.select(F.col("fp").alias(side), F.col("r").alias(f"r{side}"))
     near = hamming_links(marked, radius).join(of("a"), "a").join(of("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     shared = shared_shingles(marked)
+    release(spark)
     stars = durable(_star_pairs(shared, least))
     first = durable(connected(alike.unionByName(near).unionByName(_links(rows, nodes, stars, least, words))))
+    release(spark)
     apart = durable(_prefix_pairs(shared, first, least).join(stars, ["a", "b"], "left_anti"))
+    release(spark)
     more = _links(rows, nodes, apart, least, words)
     root = lambda side: first.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
     more = more.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
