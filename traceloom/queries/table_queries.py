@@ -100,17 +100,17 @@ def json_option(spark, d):
 def abif_scan(spark, d):
     """Tags of files that are written here first, one an assay, and read as the reader finds them."""
     from ..sources import abif
-    from .signal_queries import synthetic_channels
-
-    raw = synthetic_channels(spark, d).groupBy("assay_id").agg(F.max(F.when(F.col("dye") == "VIC", F.col("raw"))).alias("vic"), F.max(F.when(F.col("dye") == "LIZ", F.col("raw"))).alias("liz"))
+    from .signal_queries import _PIECE, _raw, assay_tops
 
     def build(batches):
         import pandas as pd
 
         for batch in batches:
-            files = [abif.write_tags({("DyeN", 1): (18, "VIC"), ("DyeN", 5): (18, "LIZ"), ("DATA", 1): (4, v), ("DATA", 105): (4, z), ("RUND", 1): (10, (2020, 1, 2)), ("RUNT", 1): (11, (3, 4, 5, 0))}) for v, z in zip(batch["vic"], batch["liz"], strict=True)]
-            yield pd.DataFrame({"path": "a" + batch["assay_id"].astype(str), "content": files})
-
-    files = raw.mapInPandas(build, "path string, content binary")
-    tags = abif.parse_files(files)
-    return abif.channels(tags).join(abif.run_starts(tags), "path").select("path", "channel", "dye", "wavelength", "started", F.size("raw").alias("n"), F.array_max("raw").alias("highest"))
+            for i in range(0, len(batch), _PIECE):
+                piece = batch.iloc[i : i + _PIECE]
+                both = [(_raw(2 * a + 1, v), _raw(2 * a, z)) for a, v, z in zip(piece["assay_id"], piece["vic"], piece["liz"], strict=True)]
+                files = [abif.write_tags({("DyeN", 1): (18, "VIC"), ("DyeN", 5): (18, "LIZ"), ("DATA", 1): (4, v), ("DATA", 105): (4, z), ("RUND", 1): (10, (2020, 1, 2)), ("RUNT", 1): (11, (3, 4, 5, 0))}) for v, z in both]
+                yield pd.DataFrame({"path": "a" + piece["assay_id"].astype(str), "content": files})
+
+    files = assay_tops(spark, d).mapInPandas(build, "path string, content binary")
+    return abif.file_channels(files).select("path", "channel", "dye", "wavelength", "started", F.size("raw").alias("n"), F.array_max("raw").alias("highest"))
