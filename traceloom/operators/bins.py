@@ -94,9 +94,9 @@ def bin_channels(peaks: DataFrame, channel_markers: DataFrame, bins: DataFrame,
     """Binned peaks, one revision for each marker of a channel (channel_id, marker_id).
 
     A channel of combined markers has several, and each gets its own copy of the peaks; those outside the marker's sizes become
-    unassigned there.
+    unassigned there. Few channels may hold most peaks, so a list of channels that is small is broadcast.
     """
-    own = peaks.drop("marker_id").join(channel_markers.select("channel_id", "marker_id"), "channel_id")
+    own = peaks.drop("marker_id").join(small(channel_markers.select("channel_id", "marker_id")), "channel_id")
     return assign_bins(own, bins, markers)
 
 
