@@ -53,12 +53,16 @@ def without(table: DataFrame, gone: DataFrame, keys: Sequence[str]) -> DataFrame
 
 
 def cascade(tables: dict[str, DataFrame], gone: DataFrame, chain: Sequence[tuple[str, str, str]]) -> dict[str, DataFrame]:
-    """Deletes rows and all that hangs on them. gone has the first table's id; chain lists (table, own id, id of the one before)."""
+    """Deletes rows and all that hangs on them. gone has the first table's id; chain lists (table, own id, id of the one before).
+
+    A table whose own id is that of the one before loses the rows of these ids, without a second reading of itself.
+    """
     out, ids = dict(tables), gone
     for i, (name, own, parent) in enumerate(chain):
         key = own if i == 0 else parent
-        lost = tables[name].join(ids.withColumnRenamed(ids.columns[0], key).select(key).distinct(), key, "left_semi")
-        out[name] = without(tables[name], lost.select(own), [own])
+        ids = ids.withColumnRenamed(ids.columns[0], key).select(key)
+        lost = tables[name].join(ids.distinct(), key, "left_semi")
+        out[name] = without(tables[name], ids if key == own else lost, [own])
         ids = lost.select(own)
     return out
 
