@@ -2,15 +2,20 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import ranktests
+from ..functions import hashes, ranktests
 from . import distance, statistics, views
 
+#: Rounds of a permutation test that one task makes over a set.
+SHUFFLES = 25
+
 
 def _two_labels(frame: DataFrame) -> list[str]:
     return [r.label for r in frame.select("label").distinct().orderBy("label").limit(3).collect()]
@@ -101,16 +106,37 @@ def jost_bootstrap(frame: DataFrame, rounds: int = 100, seed: int = 1) -> DataFr
     return real.join(found, ["set1", "set2"]).select("set1", "set2", "d", end(0).alias("low"), end(1).alias("high"))
 
 
+def _together(loci: Sequence[np.ndarray], sizes: Sequence[int]) -> int:
+    """Sum over pairs of loci of the ordered pairs of rows, a row with itself too, that agree at both."""
+    out = 0
+    for i, j in combinations(range(len(loci)), 2):
+        both = loci[i] * np.int64(sizes[j]) + loci[j]
+        k = np.bincount(both) if sizes[i] * sizes[j] <= 4 * len(both) + 2**20 else np.unique(both, return_counts=True)[1]
+        out += int((k.astype(np.int64) ** 2).sum())
+    return out
+
+
 def association_test(frame: DataFrame, markers: Sequence[int], rounds: int = 100, seed: int = 1) -> DataFrame:
-    """(label, n, index, p): p is the share of shuffles of each locus inside its set, the real one included, with an index as large."""
-    from pyspark.sql import Window
+    """(label, n, index, p): p is the share of shuffles of each locus inside its set, the real one included, with an index as large.
 
+    A shuffle keeps the values of each locus, so of all that an index holds it changes only how many pairs of samples agree at two
+    loci, which are whole numbers. A task gets the genotypes of a set once and makes SHUFFLES rounds of them, so that rounds are
+    neither rows nor shuffled; a set takes some 200 bytes a sample there.
+    """
     genotypes = views.complete_genotypes(frame, markers)
     real = distance.association_of(genotypes, len(markers))
-    cells = genotypes.select("label", F.posexplode("genotype").alias("locus", "value"), "sample_id").withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-    group = ("label", "round", "locus")
-    row = F.row_number().over(Window.partitionBy(*group).orderBy(F.xxhash64(F.lit(seed), "round", "locus", "sample_id"), "sample_id"))
-    mixed = cells.withColumn("row", row).groupBy("label", "round", "row").agg(F.array_sort(F.collect_list(F.struct("locus", "value"))).alias("g"))
-    made = mixed.select(F.concat_ws("|", "label", F.col("round").cast("string")).alias("label"), F.transform("g", lambda x: x["value"]).alias("genotype"))
-    found = distance.association_of(made, len(markers)).select(F.substring_index("label", "|", 1).alias("label"), F.col("index").alias("i"))
-    return real.join(found, "label").groupBy("label", "n", "index").agg(((F.count_if(F.col("i") >= F.col("index")) + 1) / (F.count("*") + 1)).alias("p"))
+    names = [f"g{k}" for k in range(len(markers))]
+    parts = F.explode(F.sequence(F.lit(0), F.lit(max(0, -(-rounds // SHUFFLES) - 1))))
+    sent = genotypes.select("label", hashes.numbered(genotypes).alias("number"), *(F.get("genotype", F.lit(k)).cast("double").alias(c) for k, c in enumerate(names)), parts.alias("part"))
+
+    def shuffle(group: pa.Table) -> pa.Table:
+        ids, part = group["number"].to_numpy(), group["part"][0].as_py()
+        loci, sizes = zip(*((at.astype(np.int32), len(kinds)) for at, kinds in (pd.factorize(group[c].to_numpy(), use_na_sentinel=False) for c in names)), strict=True)
+        own, large = _together(loci, sizes), 0
+        for r in range(part * SHUFFLES + 1, min((part + 1) * SHUFFLES, rounds) + 1):
+            large += _together([g[np.argsort(hashes.xxhash64(seed, r, k, ids))] for k, g in enumerate(loci)], sizes) >= own
+        return pa.table({"label": pa.array([group["label"][0].as_py()], pa.string()), "large": pa.array([large], pa.int64())})
+
+    found = sent.where("label IS NOT NULL").groupBy("label", "part").applyInArrow(shuffle, "label string, large long").groupBy("label").agg(F.sum("large").alias("large"))
+    # without any difference there is no index, and none is as large
+    return real.join(found, "label").select("label", "n", "index", ((F.when(F.col("index").isNotNull(), F.col("large")).otherwise(0) + 1) / F.lit(rounds + 1)).alias("p"))
