@@ -55,3 +55,39 @@ def test_association_of_equal_genotypes_and_small_sets(spark):
     got = {r.label: (r.n, r["index"], r.p) for r in comparisons.association_test(own, (1, 2, 3), 9).collect()}
     # no pair of values ever differs, or all pairs differ at all loci however they are dealt: there is no index
     assert got == {"same": (4, None, 0.1), "own": (4, None, 0.1)}
+
+
+def test_divisions_as_by_rows(frame):
+    top = views.dominant(frame).select("label", "sample_id", "marker_id", "value")
+    assert "xxhash64" not in plan(comparisons.fst_permutations(frame))  # no row of a round
+    got = {tuple(r) for r in comparisons._divisions(top, 3, 1).collect()}
+    rows = top.collect()
+    held = {}
+    for r in rows:
+        held.setdefault(r.label, {}).setdefault(r.sample_id, []).append((r.marker_id, r.value))
+    want, labels = {}, sorted(held)
+    for i, a in enumerate(labels):
+        for b in labels[i + 1 :]:
+            ids = np.array(sorted([*held[a], *held[b]]), np.int64)
+            for k in range(4):
+                order = ids[np.argsort(hashes.xxhash64(1, k, ids))].tolist()
+                first = set(order[: len(held[a])]) if k else set(held[a])
+                for s in order:
+                    for cell in held[a].get(s) or held[b][s]:
+                        key = (a, b, k, "1" if s in first else "2", *cell)
+                        want[key] = want.get(key, 0) + 1
+    assert got == {(*k, n) for k, n in want.items()}
+
+
+def test_fst_of_both_sets_as_they_are(frame):
+    real = {(r.set1, r.set2): r.fst for r in distance.pairwise_fst(frame).collect()}
+    got = {(r.set1, r.set2): r.fst for r in comparisons.fst_permutations(frame, 4).collect()}
+    assert len(got) == 3 and got == pytest.approx(real)
+
+
+def test_missing_values_and_ids_of_text(spark):
+    rows = [("ab"[i % 2], f"s{i}", m, None if i == 3 else i % 3) for i in range(12) for m in (1, 2)]
+    own = spark.createDataFrame([(*r, 1.0) for r in rows], "label string, sample_id string, marker_id int, value int, height double")
+    counted = comparisons._divisions(views.dominant(own), 5, 1).groupBy("round", "marker_id").agg(F.sum("n").alias("n"), F.sum(F.when(F.isnull("value"), F.col("n"))).alias("missing")).collect()
+    assert len(counted) == 12 and all((r.n, r.missing) == (12, 1) for r in counted)
+    assert comparisons.fst_permutations(own, 5).first().fst == pytest.approx(distance.pairwise_fst(own).first().fst)

@@ -15,6 +15,8 @@ from . import distance, statistics, views
 
 #: Rounds of a permutation test that one task makes over a set.
 SHUFFLES = 25
+#: Stands for a missing value among the codes of alleles.
+_NO_VALUE = -(2**31)
 
 
 def _two_labels(frame: DataFrame) -> list[str]:
@@ -52,35 +54,56 @@ def compare_infection(frame: DataFrame) -> dict:
     return {"test": "Kruskal-Wallis", "statistic": r.h, "p": ranktests.chi2_tail(r.h, r.df)}
 
 
-def _relabelled(top: DataFrame, rounds: int, seed: int, pairs: DataFrame) -> DataFrame:
-    """Dominant rows of each pair of sets, in `rounds` copies whose samples are dealt to the two sets anew, by size.
+def _divisions(top: DataFrame, rounds: int, seed: int) -> DataFrame:
+    """(set1, set2, round, label, marker_id, value, n): counts of dominant alleles of both sets of each pair, as labels 1 and 2, as
+    they are in round 0 and with samples dealt to the sets anew, by size, in `rounds` others.
 
-    A sample's rank by a hash of the round decides its set, so no order is gathered in one place: ranks are windows over the
-    samples of a pair, one row each.
+    A sample's rank by a hash of the round decides its set. Each sample is sent once to each pair, whose task makes all rounds over
+    the samples' numbers and alleles, so that rounds are neither rows nor shuffled.
     """
-    from pyspark.sql import Window
-
-    own = top.select("label", "sample_id").distinct()
-    sides = pairs.select("set1", "set2", F.explode(F.array("set1", "set2")).alias("label"))
-    members = sides.join(own, "label")
-    copies = members.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-    place = F.row_number().over(Window.partitionBy("set1", "set2", "round").orderBy(F.xxhash64(F.lit(seed), "round", "sample_id"), "sample_id"))
-    first = F.count_if(F.col("label") == F.col("set1")).over(Window.partitionBy("set1", "set2", "round"))
-    dealt = copies.withColumn("new", F.when(place <= first, F.col("set1")).otherwise(F.col("set2"))).select("set1", "set2", "round", "sample_id", "new")
-    return dealt.join(top.drop("label"), "sample_id")
+    code = F.shiftleft(F.col("marker_id").cast("long"), 32) + F.coalesce(F.col("value").cast("long"), F.lit(_NO_VALUE))
+    own = top.select("label", hashes.numbered(top).alias("number"), code.alias("code")).groupBy("label", "number").agg(F.collect_list("code").alias("codes"))
+    # from the same exchange as own
+    labels = own.groupBy("label").agg(F.sum(F.size("codes")).alias("n")).where("n > 0").select("label")
+    pairs = labels.select(F.col("label").alias("set1")).join(labels.select(F.col("label").alias("set2")), F.expr("set1 < set2"))
+    members = pairs.select("set1", "set2", F.explode(F.array("set1", "set2")).alias("label")).join(own, "label").withColumn("first", F.expr("label = set1")).drop("label")
+
+    def divide(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        ids, first = (group[c].to_numpy() for c in ("number", "first"))
+        listed = group["codes"].combine_chunks()
+        owner = np.repeat(np.arange(len(ids)), listed.value_lengths().to_numpy())
+        at, kinds = pd.factorize(listed.flatten().to_numpy())
+        at = at.astype(np.int32)
+        marker = (kinds + 2**31) >> 32
+        value = kinds - (marker << 32)
+        values, of = pa.array(value, pa.int32(), mask=value == _NO_VALUE), pa.array(marker, pa.int32())
+        total, some = np.bincount(at, minlength=len(kinds)), int(first.sum())
+        out = []
+        for r in range(rounds + 1):
+            side = first
+            if r:
+                h = hashes.xxhash64(seed, r, ids)
+                side = h <= np.partition(h, some - 1)[some - 1]
+            one = np.bincount(at[side[owner]], minlength=len(kinds))
+            for label, n in (("1", one), ("2", total - one)):
+                held = np.flatnonzero(n)
+                out.append(pa.table({"round": pa.array(np.full(len(held), r), pa.int32()), "label": pa.array([label] * len(held), pa.string()), "marker_id": of.take(held), "value": values.take(held), "n": pa.array(n[held], pa.int64())}))
+        made = pa.concat_tables(out)
+        for i, c in enumerate(("set1", "set2")):
+            made = made.add_column(i, c, pa.repeat(group[c][0].as_py(), len(made)).cast(pa.string()))
+        return made
+
+    return members.groupBy("set1", "set2").applyInArrow(divide, "set1 string, set2 string, round int, label string, marker_id int, value int, n long")
 
 
 def fst_permutations(frame: DataFrame, rounds: int = 100, seed: int = 1) -> DataFrame:
     """(set1, set2, fst, p): p is the share of random divisions of both sets' samples, this one included, that differ as much."""
-    top = views.dominant(frame).select("label", "sample_id", "marker_id", "value", "height", "allele_id")
-    real = distance.pairwise_fst(frame).select("set1", "set2", "fst")
-    shuffled = _relabelled(top, rounds, seed, real.select("set1", "set2"))
-    # each round of each pair is a pair of sets of its own
-    key = F.concat_ws("|", F.col("set1"), F.col("set2"), F.col("round").cast("string"))
-    sides = shuffled.withColumn("pair", key).withColumn("label", F.when(F.col("new") == F.col("set1"), "1").otherwise("2"))
-    counts = sides.groupBy("pair", "set1", "set2", "label", "marker_id", "value").agg(F.count("*").alias("n"))
-    found = distance.fst_of_counts(counts, by=("pair", "set1", "set2")).select("set1", "set2", F.col("fst").alias("f"))
-    return real.join(found, ["set1", "set2"]).groupBy("set1", "set2", "fst").agg(((F.count_if(F.col("f") >= F.col("fst")) + 1) / (F.count("*") + 1)).alias("p"))
+    top = views.dominant(frame).select("label", "sample_id", "marker_id", "value")
+    found = distance.fst_of_counts(_divisions(top, rounds, seed), by=("set1", "set2", "round")).select("set1", "set2", "round", "fst")
+    sets = found.groupBy("set1", "set2").agg(F.max(F.when(F.col("round") == 0, F.col("fst"))).alias("fst"), F.collect_list(F.when(F.col("round") > 0, F.struct("fst"))).alias("others"))
+    as_much = F.size(F.filter("others", lambda x: F.coalesce(x["fst"] >= F.col("fst"), F.lit(False))))
+    return sets.select("set1", "set2", "fst", ((as_much + 1) / (F.size("others") + 1)).alias("p"))
 
 
 def jost_bootstrap(frame: DataFrame, rounds: int = 100, seed: int = 1) -> DataFrame:
